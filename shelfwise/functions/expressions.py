@@ -54,14 +54,29 @@ def promotion_recommendation(stock: Column, reorder: Column, units_sold: Column,
             .otherwise(F.lit(HEALTHY_INVENTORY)))
 
 
-def money_out(amount: Column) -> Column:
-    """``ROUND(amount, 2)`` on the exact decimal, then DOUBLE for the caller."""
-    return F.round(amount, 2).cast(MONEY_OUT)
+def cents(amount: Column) -> Column:
+    """A ``decimal(12,2)`` amount as a whole number of cents (``long``).
 
+    Sums of ``decimal(12,2)`` are ``decimal(22,2)``, whose aggregation buffer is a
+    boxed big decimal; sums of cents stay in primitive longs inside generated code
+    and are just as exact (overflow raises under ANSI mode instead of wrapping).
+    ``decimal(12,2) * 100`` is ``decimal(16,2)``, still a compact decimal.
+    """
+    return (amount * F.lit(Decimal(100))).cast("long")
 
-def exact_money(amount: Column) -> Column:
-    """Back from DOUBLE to an exact two-place decimal (the value was rounded to cents)."""
-    return amount.cast("decimal(38,2)")
+
+def money_from_cents(total_cents: Column) -> Column:
+    """Exact cents to DOUBLE: the nearest double to the exact amount.
+
+    Equal to ``CAST(ROUND(SUM(amount), 2) AS DOUBLE)``: the sum of cent amounts has
+    no third decimal, so the rounding changes nothing.
+    """
+    return (total_cents / F.lit(100)).cast(MONEY_OUT)
+
+
+def cents_of_double(amount: Column) -> Column:
+    """Back from a DOUBLE that holds a cent amount to exact cents."""
+    return F.round(amount * 100).cast("long")
 
 
 def escape_like(text: str) -> str:

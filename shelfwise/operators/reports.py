@@ -70,7 +70,7 @@ def category_revenue(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """
     sold = sold_items(t, f, ("category_name", "department_code"), ())
     out = sold.groupBy("category_name", "department_code").agg(
-        X.money_out(F.sum("subtotal")).alias("total_revenue"),
+        X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("total_revenue"),
         F.sum("quantity").cast("long").alias("total_units_sold"),
         F.countDistinct("transactionid").alias("transaction_count"),
     )
@@ -103,7 +103,7 @@ def warehouse_performance(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     keep = f.date_null_or_in_range(F.col("transactiondate"))
     per_wh = st.groupBy("warehouseid").agg(
         F.count(F.lit(1)).alias("n_all"),
-        F.sum(F.when(keep, F.col("totalamount"))).alias("kept_amount"),
+        F.sum(F.when(keep, X.cents(F.col("totalamount")))).alias("kept_cents"),
         F.count(F.when(keep, F.col("transactionid"))).alias("n_kept"),
     )
     wh = warehouses_in_scope(t, f, "name", "location", "region")
@@ -112,13 +112,13 @@ def warehouse_performance(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     else:
         joined = (wh.join(per_wh, "warehouseid", "left")
                   .where(F.col("n_all").isNull() | (F.col("n_kept") > 0)))
-    revenue = F.coalesce(F.col("kept_amount"), F.lit(0).cast("decimal(22,2)"))
+    revenue = F.coalesce(F.col("kept_cents"), F.lit(0).cast("long"))
     ranked = joined.select(
         "warehouseid",
         F.col("name").alias("warehouse_name"),
         "location",
         "region",
-        X.money_out(revenue).alias("total_revenue"),
+        X.money_from_cents(revenue).alias("total_revenue"),
         F.coalesce(F.col("n_kept"), F.lit(0)).cast("long").alias("transaction_count"),
         F.rank().over(Window.partitionBy("region").orderBy(revenue.desc())).alias("regional_rank"),
     )
@@ -129,16 +129,20 @@ def warehouse_performance(t: RetailTables, f: Filters = Filters()) -> DataFrame:
 # O3 low inventory
 # ---------------------------------------------------------------------------
 
-def _low_stock_rows(t: RetailTables, f: Filters, near) -> DataFrame:
+def stock_rows(t: RetailTables, f: Filters, condition, require_category: bool = True) -> DataFrame:
+    """Inventory rows meeting ``condition(stock, reorder)``, with warehouse and product
+    names; filtered before any join, so the fan-out below starts from few rows."""
     inv = t.inventory
-    inv = inv.where(near(inv.stockquantity, inv.reorderlevel))
+    inv = inv.where(condition(inv.stockquantity, inv.reorderlevel))
     inv = inv.join(warehouses_in_scope(t, f, F.col("name").alias("warehouse_name")), "warehouseid")
-    prod = (t.product.select("productid", "categoryid", F.col("name").alias("product_name"))
-            .join(categories_in_scope(t, f).select("categoryid"), "categoryid").drop("categoryid"))
-    return inv.join(prod, "productid")
+    prod = t.product.select("productid", "categoryid", F.col("name").alias("product_name"))
+    if require_category:
+        prod = prod.join(categories_in_scope(t, f).select("categoryid"), "categoryid")
+    return inv.join(prod.drop("categoryid"), "productid")
 
 
-def _with_suppliers(t: RetailTables, rows: DataFrame, *supplier_cols) -> DataFrame:
+def with_suppliers(t: RetailTables, rows: DataFrame, *supplier_cols) -> DataFrame:
+    """One row per supplier of each row's product (kept once, with NULLs, if none)."""
     ps = t.productsupplier.select("productid", "supplierid", "leadtimedays")
     fanned = fanout_left_join(rows, ps, ["productid"])
     sup = t.supplier.select("supplierid", *supplier_cols)
@@ -152,8 +156,8 @@ def low_inventory(t: RetailTables, f: Filters = Filters(), ordered: bool = True)
     products without a supplier stay with NULLs; NULL stock or reorder level drops
     the row.  Sorted by urgency, then lead time descending with NULLs last.
     """
-    rows = _low_stock_rows(t, f, X.near_reorder)
-    out = _with_suppliers(t, rows, F.col("name").alias("supplier_name")).select(
+    rows = stock_rows(t, f, X.near_reorder)
+    out = with_suppliers(t, rows, F.col("name").alias("supplier_name")).select(
         "warehouse_name", "product_name", "stockquantity", "reorderlevel", "leadtimedays", "supplier_name",
         X.inventory_status(F.col("stockquantity"), F.col("reorderlevel")).alias("inventory_status"),
     )
@@ -171,7 +175,7 @@ def warehouse_category(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """Revenue per (warehouse name, location, region, category name), worst first."""
     sold = sold_items(t, f, ("category_name",), (F.col("name").alias("warehouse_name"), "location", "region"))
     out = sold.groupBy("warehouse_name", "location", "region", "category_name").agg(
-        X.money_out(F.sum("subtotal")).alias("category_revenue"),
+        X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("category_revenue"),
         F.sum("quantity").cast("long").alias("units_sold"),
         F.countDistinct("transactionid").alias("transaction_count"),
     )

@@ -26,8 +26,10 @@ THREE_DAYS = Filters(start_date="1996-01-01", end_date="1996-01-03")
 @dataclass(frozen=True)
 class NamedQuery:
     key: str
-    run: Callable[[RetailTables], DataFrame]
+    run: Callable[[RetailTables], DataFrame] | None
     oracle: str | None = None
+    # Queries that read the test folder themselves (streams) instead of the tables.
+    run_raw: Callable[[SparkSession, str], DataFrame] | None = None
 
 
 _REGISTRY: dict[str, NamedQuery] = {}
@@ -39,6 +41,12 @@ def register(key: str, run: Callable[[RetailTables], DataFrame], oracle: str | N
     _REGISTRY[key] = NamedQuery(key, run, oracle)
 
 
+def register_raw(key: str, run: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
+    if key in _REGISTRY:
+        raise ValueError(f"duplicate query key {key!r}")
+    _REGISTRY[key] = NamedQuery(key, None, oracle, run)
+
+
 def _ensure_loaded() -> None:
     if not _REGISTRY:
         from shelfwise.plans import catalog_queries  # noqa: F401  (registers on import)
@@ -52,6 +60,8 @@ def named_queries() -> dict[str, NamedQuery]:
 def spark_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(q: NamedQuery):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if q.run_raw is not None:
+                return q.run_raw(spark, sf_dir)
             return q.run(load_driver_tables(spark, sf_dir))
         run.__name__ = q.key
         return run
@@ -62,5 +72,5 @@ def oracle_texts() -> dict[str, str]:
     return {k: q.oracle for k, q in named_queries().items() if q.oracle is not None}
 
 
-__all__ = ["OPEN", "NARROW", "CATEGORY_ONLY", "THREE_DAYS", "register", "named_queries", "spark_callables",
+__all__ = ["OPEN", "NARROW", "CATEGORY_ONLY", "THREE_DAYS", "register", "register_raw", "named_queries", "spark_callables",
            "oracle_texts", "O"]
