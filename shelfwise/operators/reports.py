@@ -34,10 +34,18 @@ def categories_in_scope(t: RetailTables, f: Filters) -> DataFrame:
         "categoryid", F.col("name").alias("category_name"), F.col("deptcode").alias("department_code"))
 
 
-def products_in_scope(t: RetailTables, f: Filters, *cat_cols: str) -> DataFrame:
-    """Products joined (inner) to their category, after the category filter."""
+def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str) -> DataFrame:
+    """Rows carrying ``productid`` joined (inner) to product and then to its category.
+
+    The two joins are kept apart on purpose: without column statistics the
+    optimizer estimates a join's size as the product of its inputs, so a
+    pre-joined product-category dimension would look huge and never pass the
+    broadcast size check; the plain product and category scans do (and fall
+    back to a sort-merge join when they really are large).
+    """
+    rows = rows.join(t.product.select("productid", "categoryid"), "productid")
     cats = categories_in_scope(t, f).select("categoryid", *cat_cols)
-    return t.product.select("productid", "categoryid").join(cats, "categoryid").drop("categoryid")
+    return rows.join(cats, "categoryid").drop("categoryid")
 
 
 def transactions_in_scope(t: RetailTables, f: Filters, *wh_cols: str) -> DataFrame:
@@ -54,7 +62,7 @@ def transactions_in_scope(t: RetailTables, f: Filters, *wh_cols: str) -> DataFra
 def sold_items(t: RetailTables, f: Filters, cat_cols: tuple[str, ...], wh_cols: tuple[str, ...]) -> DataFrame:
     """Items of in-scope transactions, with their category and warehouse attributes."""
     items = t.salestransactionitem.select("transactionid", "productid", "quantity", "subtotal")
-    items = items.join(products_in_scope(t, f, *cat_cols), "productid")
+    items = with_category(t, f, items, *cat_cols)
     return items.join(transactions_in_scope(t, f, *wh_cols), "transactionid")
 
 
@@ -97,9 +105,8 @@ def warehouse_performance(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     st = t.salestransaction.select("transactionid", "warehouseid", "transactiondate", "totalamount")
     st = st.where(F.col("warehouseid").isNotNull())
     if f.by_category:
-        with_category = (t.salestransactionitem.select("transactionid", "productid")
-                         .join(products_in_scope(t, f), "productid").select("transactionid"))
-        st = st.join(with_category, "transactionid", "left_semi")
+        in_category = with_category(t, f, t.salestransactionitem.select("transactionid", "productid"))
+        st = st.join(in_category.select("transactionid"), "transactionid", "left_semi")
     keep = f.date_null_or_in_range(F.col("transactiondate"))
     per_wh = st.groupBy("warehouseid").agg(
         F.count(F.lit(1)).alias("n_all"),
@@ -135,10 +142,10 @@ def stock_rows(t: RetailTables, f: Filters, condition, require_category: bool =
     inv = t.inventory
     inv = inv.where(condition(inv.stockquantity, inv.reorderlevel))
     inv = inv.join(warehouses_in_scope(t, f, F.col("name").alias("warehouse_name")), "warehouseid")
-    prod = t.product.select("productid", "categoryid", F.col("name").alias("product_name"))
+    inv = inv.join(t.product.select("productid", "categoryid", F.col("name").alias("product_name")), "productid")
     if require_category:
-        prod = prod.join(categories_in_scope(t, f).select("categoryid"), "categoryid")
-    return inv.join(prod.drop("categoryid"), "productid")
+        inv = inv.join(categories_in_scope(t, f).select("categoryid"), "categoryid")
+    return inv.drop("categoryid")
 
 
 def with_suppliers(t: RetailTables, rows: DataFrame, *supplier_cols) -> DataFrame:

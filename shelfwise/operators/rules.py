@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import expressions as X
 from shelfwise.functions.filters import Filters
-from shelfwise.operators.reports import stock_rows, units_by_product, with_suppliers
+from shelfwise.operators.reports import stock_rows, units_by_product, with_category, with_suppliers
 from shelfwise.sources.catalog import RetailTables
 
 # Fixed value: the words that ask for ascending order.
@@ -39,9 +39,7 @@ def _check_order(order: str) -> None:
 def rule_category_revenue(t: RetailTables, order: str = "best") -> DataFrame:
     """SUM(subtotal) per category name: every sale, any date, any warehouse."""
     _check_order(order)
-    cat = t.category.select("categoryid", F.col("name").alias("category_name"))
-    prod = t.product.select("productid", "categoryid").join(cat, "categoryid")
-    items = t.salestransactionitem.select("productid", "subtotal").join(prod, "productid")
+    items = with_category(t, Filters(), t.salestransactionitem.select("productid", "subtotal"), "category_name")
     out = items.groupBy("category_name").agg(
         X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("total_revenue"))
     return out.orderBy(*_by("total_revenue", order, "category_name"))
@@ -75,9 +73,8 @@ def rule_worst_pairs(t: RetailTables, n: int = X.DEFAULT_BOTTOM_N) -> DataFrame:
     A bottom-n is the feature here; Spark runs ``orderBy().limit(n)`` as a
     distributed take-ordered, each task keeping only its own n best rows.
     """
-    cat = t.category.select("categoryid", F.col("name").alias("category_name"))
-    prod = t.product.select("productid", "categoryid").join(cat, "categoryid")
-    items = t.salestransactionitem.select("transactionid", "productid", "subtotal").join(prod, "productid")
+    items = with_category(t, Filters(), t.salestransactionitem.select("transactionid", "productid", "subtotal"),
+                          "category_name")
     tx = t.salestransaction.select("transactionid", "warehouseid").join(
         t.warehouse.select("warehouseid", F.col("name").alias("warehouse_name")), "warehouseid")
     pairs = items.join(tx, "transactionid").groupBy("warehouse_name", "category_name").agg(
