@@ -59,11 +59,26 @@ def transactions_in_scope(t: RetailTables, f: Filters, *wh_cols: str) -> DataFra
     return tx.join(warehouses_in_scope(t, f, *wh_cols), "warehouseid")
 
 
-def sold_items(t: RetailTables, f: Filters, cat_cols: tuple[str, ...], wh_cols: tuple[str, ...]) -> DataFrame:
-    """Items of in-scope transactions, with their category and warehouse attributes."""
+def sold_items(t: RetailTables, f: Filters, cat_cols: tuple, wh_cols: tuple) -> DataFrame:
+    """Items of in-scope transactions, with their category and warehouse attributes.
+
+    Only ids cross the one large shuffle (items and transactions meet on
+    ``transactionid``); the name filters act before it as semi-joins on the ids,
+    and the names are attached after it.  Those joins are against small
+    dimensions, so they are broadcast and keep the ``transactionid`` partitioning
+    that the per-transaction distinct count below reuses.
+    """
     items = t.salestransactionitem.select("transactionid", "productid", "quantity", "subtotal")
-    items = with_category(t, f, items, *cat_cols)
-    return items.join(transactions_in_scope(t, f, *wh_cols), "transactionid")
+    items = items.join(t.product.select("productid", "categoryid"), "productid")
+    if f.by_category:
+        items = items.join(categories_in_scope(t, f).select("categoryid"), "categoryid", "left_semi")
+    st = t.salestransaction
+    tx = st.where(f.date_in_range(st.transactiondate)).select("transactionid", "warehouseid")
+    if f.by_region or f.by_warehouse:
+        tx = tx.join(warehouses_in_scope(t, f), "warehouseid", "left_semi")
+    sold = items.join(tx, "transactionid")
+    sold = sold.join(categories_in_scope(t, f).select("categoryid", *cat_cols), "categoryid")
+    return sold.join(warehouses_in_scope(t, f, *wh_cols), "warehouseid")
 
 
 # ---------------------------------------------------------------------------

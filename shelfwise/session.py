@@ -31,6 +31,9 @@ SCALE_DEFAULTS = {
 }
 
 
+LOCAL_DRIVER_MEMORY = "8g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "shelfwise", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above."""
@@ -38,6 +41,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(SCALE_DEFAULTS)
+    if master and master.startswith("local"):
+        # In local mode the driver JVM does all the work; its default 1 GB heap is
+        # too small.  On a cluster the deployment sizes driver and executors.
+        conf["spark.driver.memory"] = LOCAL_DRIVER_MEMORY
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
