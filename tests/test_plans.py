@@ -50,3 +50,27 @@ def test_fact_is_shuffled_once_in_category_revenue(golden):
     text = plan_text(R.category_revenue(golden, Filters()), "simple")
     # item⋈transaction on the key, the small final aggregate, the final sort.
     assert text.count("Exchange hashpartitioning(transactionid") <= 2
+
+
+def test_bucketed_facts_save_the_transaction_shuffle(spark, small_tables, tmp_path):
+    """With bucketed facts and no broadcast allowed at all, the transactions side of
+    the fact join is read bucketed and never exchanged; only the items side (which
+    the product join re-partitioned) still is."""
+    from shelfwise.sources.catalog import store_tables
+    stored = store_tables(small_tables, str(tmp_path / "tables"), files_per_table=2, fact_buckets=4,
+                          table_prefix="plancheck_")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(R.category_revenue(stored, Filters()), "simple")
+        assert "SortMergeJoin [transactionid" in text
+        assert "Bucketed: true" in text
+        assert text.count("Exchange hashpartitioning(transactionid") == 1
+        unbucketed = plan_text(R.category_revenue(small_tables, Filters()), "simple")
+        assert unbucketed.count("Exchange hashpartitioning(transactionid") == 2
+        # and the result is unchanged by the storage form
+        a = sorted(map(tuple, R.category_revenue(stored, Filters()).collect()))
+        b = sorted(map(tuple, R.category_revenue(small_tables, Filters()).collect()))
+        assert a == b
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
