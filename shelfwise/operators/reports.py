@@ -48,17 +48,6 @@ def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str)
     return rows.join(cats, "categoryid").drop("categoryid")
 
 
-def transactions_in_scope(t: RetailTables, f: Filters, *wh_cols: str) -> DataFrame:
-    """Transactions in the date range whose warehouse exists and passes the filters.
-
-    The inner join drops transactions with a NULL or unknown warehouse; the date
-    test drops NULL dates even when the range is open.
-    """
-    st = t.salestransaction
-    tx = st.where(f.date_in_range(st.transactiondate)).select("transactionid", "warehouseid")
-    return tx.join(warehouses_in_scope(t, f, *wh_cols), "warehouseid")
-
-
 def sold_items(t: RetailTables, f: Filters, cat_cols: tuple, wh_cols: tuple) -> DataFrame:
     """Items of in-scope transactions, with their category and warehouse attributes.
 
@@ -66,7 +55,9 @@ def sold_items(t: RetailTables, f: Filters, cat_cols: tuple, wh_cols: tuple) ->
     ``transactionid``); the name filters act before it as semi-joins on the ids,
     and the names are attached after it.  Those joins are against small
     dimensions, so they are broadcast and keep the ``transactionid`` partitioning
-    that the per-transaction distinct count below reuses.
+    that the per-transaction distinct count below reuses.  The final inner joins
+    drop transactions with a NULL or unknown warehouse and items whose category
+    is unknown; the date test drops NULL dates even when the range is open.
     """
     items = t.salestransactionitem.select("transactionid", "productid", "quantity", "subtotal")
     items = items.join(t.product.select("productid", "categoryid"), "productid")
