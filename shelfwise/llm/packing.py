@@ -49,7 +49,7 @@ CACHE_WORDS = 300_000
 #: and the characters of special tokens are left out.
 SIGNS = ".,;:!?\"#$%&()*+-/=@[\\]^_`{}~"
 #: Pieces that one ranking group is planned to hold.
-RANK_GROUP = 50_000
+RANK_GROUP = 5_000
 
 
 def default_tokenizer_path() -> str:
