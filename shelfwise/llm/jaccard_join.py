@@ -97,6 +97,11 @@ def _least_overlap(n):
     return -(-PERCENT * n // 100)
 
 
+def _overlap(na, nb):
+    """Sets of these sizes link when they share at least this many tokens."""
+    return PERCENT * (na + nb) / (100 + PERCENT)
+
+
 def extension(n):
     return 1 + n // 10
 
@@ -281,7 +286,7 @@ def _candidates(index: DataFrame, buckets: int, level: int) -> tuple[DataFrame,
     found = materialize(index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match, _FOUND), f"join-found-{level}")
     heavy = materialize(found.where(F.col("kind") == HEAVY).groupBy("a").agg(F.sum("n").alias("f")), f"join-heavy-{level}")
     small = F.least("na", "nb")
-    need = 1 + F.floor(small / 10) if level == 1 else F.ceil(F.greatest("na", "nb") * PERCENT / 100)
+    need = 1 + F.floor(small / 10) if level == 1 else F.ceil(_overlap(F.col("na"), F.col("nb")) - 1e-6)
     pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(
         F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n")) \
         .join(heavy.select("a", F.col("f").alias("fa")), "a", "left") \
@@ -293,7 +298,7 @@ def _candidates(index: DataFrame, buckets: int, level: int) -> tuple[DataFrame,
 
 # ---------------------------------------------------------------- combinations
 
-_KEYS = "bucket int, key binary, class binary, size binary, component binary"
+_KEYS = "bucket int, key binary, class binary, size binary, frequent binary, component binary"
 
 
 def _combinations(token: np.ndarray, classes: int) -> np.ndarray:
@@ -324,12 +329,12 @@ def combination_keys(token: np.ndarray) -> np.ndarray:
 
 
 def _index_combinations(sets: DataFrame, buckets: int) -> DataFrame:
-    """Postings of combination keys; ``sets`` holds class, component, tokens."""
+    """Postings of combination keys; ``sets`` holds class, number of frequent tokens, component, tokens."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, component = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cls, frequent, component = (batch.column(i).to_numpy() for i in range(3))
             keys, size = [], []
-            for blob in batch.column(2).to_pylist():
+            for blob in batch.column(3).to_pylist():
                 token = np.frombuffer(blob, np.uint64)
                 keys.append(combination_keys(token))
                 size.append(len(token))
@@ -337,21 +342,21 @@ def _index_combinations(sets: DataFrame, buckets: int) -> DataFrame:
             key = np.concatenate(keys)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            columns = [key[order], *(np.repeat(v, length)[order] for v in (cls, np.array(size, np.int64), component))]
+            columns = [key[order], *(np.repeat(v, length)[order] for v in (cls, np.array(size, np.int64), frequent, component))]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used.astype(np.int32))] + [pa.array([c[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()) for c in columns],
-                names=["bucket", "key", "class", "size", "component"])
+                names=["bucket", "key", "class", "size", "frequent", "component"])
 
-    return sets.select("class", "component", "tokens").mapInArrow(index, _KEYS)
+    return sets.select("class", "f", "component", "tokens").mapInArrow(index, _KEYS)
 
 
 def _holders(table: pa.Table) -> tuple[np.ndarray, ...]:
     key, cls = _concat(table, "key", np.uint64), _concat(table, "class", np.int64)
-    size, component = _concat(table, "size", np.int64), _concat(table, "component", np.int64)
+    size, frequent, component = (_concat(table, c, np.int64) for c in ("size", "frequent", "component"))
     order = np.lexsort((cls, component, key))
-    return key[order], cls[order], size[order], component[order]
+    return key[order], cls[order], size[order], frequent[order], component[order]
 
 
 def _band(size: np.ndarray) -> np.ndarray:
@@ -367,47 +372,61 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIR)
 
 
+def _by_frequent(size_a, size_b, frequent_a, frequent_b):
+    """Whether two sets can link by their frequent tokens alone."""
+    return (100 + PERCENT) * np.minimum(frequent_a, frequent_b) >= PERCENT * (size_a + size_b)
+
+
 def _star(table: pa.Table) -> pa.Table:
-    """Every holder of a key with the pivot of its band: a row per holder, not per pair."""
-    key, cls, size, _ = _holders(table)
+    """Every holder of a key with the pivot of its band: a row per holder, not per pair.
+
+    The pivot is the holder with the largest share of frequent tokens, which is nearest to what
+    a group of near copies has in common.
+    """
+    key, cls, size, frequent, _ = _holders(table)
     band = _band(size)
-    order = np.lexsort((cls, band, key))
-    key, cls, band = key[order], cls[order], band[order]
+    order = np.lexsort((cls, -frequent / size, band, key))
+    key, cls, size, frequent, band = key[order], cls[order], size[order], frequent[order], band[order]
     edge = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
-    pivot = cls[np.flatnonzero(edge)[edge.cumsum() - 1]]
-    apart = cls != pivot
-    return _distinct(cls[apart], pivot[apart])
+    pivot = np.flatnonzero(edge)[edge.cumsum() - 1]
+    apart = (cls != cls[pivot]) & _by_frequent(size, size[pivot], frequent, frequent[pivot])
+    return _distinct(cls[apart], cls[pivot[apart]])
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Holders of a key that lie in different components."""
-    key, cls, size, component = _holders(table)
+    """Holders of a key in different components that can link by their frequent tokens alone.
+
+    (Pairs that also share a rare token have been candidates before.) The holders of a key that
+    are not in its largest component are compared with all others; what several keys ask for
+    is marked once, in blocks of rows.
+    """
+    key, cls, size, frequent, component = _holders(table)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     stop = np.append(edge[1:], len(key)) if len(edge) else edge
-    got: list[np.ndarray] = []
-    seen: set[bytes] = set()
+    name, at, number = np.unique(cls, return_index=True, return_inverse=True)
+    size, frequent, of_name = size[at], frequent[at], component[at]
+    lists: list[tuple[np.ndarray, np.ndarray]] = []
     for lo, hi in zip(edge, stop):
-        if component[lo] == component[hi - 1]:
-            continue
-        same = cls[lo:hi].tobytes()
-        if same in seen:
-            continue
-        seen.add(same)
-        part = np.flatnonzero(np.concatenate([[True], component[lo + 1:hi] != component[lo:hi - 1]])) + lo
-        segments = sorted(zip(part.tolist(), [*part[1:].tolist(), int(hi)]), key=lambda v: v[1] - v[0])
-        rest = np.concatenate([np.arange(*v) for v in segments])  # the largest component last
-        done = 0
-        for s, e in segments[:-1]:
-            done += e - s
-            y = rest[done:]
-            for x in range(s, e):
-                near = y[100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])]
-                if len(near):
-                    got.append(np.stack([np.full(len(near), cls[x]), cls[near]], 1))
-        if sum(map(len, got)) > 2_000_000:
-            got = [np.unique(np.concatenate(got), axis=0)]
-    both = np.concatenate(got) if got else np.zeros((0, 2), np.int64)
-    return _distinct(both[:, 0], both[:, 1])
+        if component[lo] != component[hi - 1]:
+            part, inverse = np.unique(component[lo:hi], return_inverse=True)
+            minor = inverse != np.bincount(inverse).argmax()
+            lists.append((number[lo:hi][minor], number[lo:hi]))
+    rows = np.unique(np.concatenate([m for m, _ in lists])) if lists else np.zeros(0, np.int64)
+    a, b = [], []
+    block = max(1, (1 << 25) // max(1, len(name)))
+    for lo in range(0, len(rows), block):
+        here = rows[lo:lo + block]
+        asked = np.zeros((len(here), len(name)), bool)
+        for minor, everyone in lists:
+            mine = minor[(minor >= here[0]) & (minor <= here[-1])]
+            if len(mine):
+                asked[np.searchsorted(here, mine)[:, None], everyone] = True
+        i, j = np.nonzero(asked)
+        x = here[i]
+        ok = (of_name[x] != of_name[j]) & _by_frequent(size[x], size[j], frequent[x], frequent[j])
+        a.append(name[x[ok]])
+        b.append(name[j[ok]])
+    return _distinct(np.concatenate(a), np.concatenate(b)) if a else _distinct(rows, rows)
 
 
 # ---------------------------------------------------------------- verification
@@ -490,14 +509,14 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more, heavy = _candidates(_index_sets(own, buckets), buckets, 2)
         pairs = materialize(pairs.unionAll(more).distinct(), "join-pairs-2")
         left = materialize(still.join(heavy.select(F.col("a").alias("class"), "f"), "class")
-                           .where(F.col("f") >= F.ceil(F.col("size") * PERCENT / 100)).select("class", "size"), "join-still-2")
+                           .where(F.col("f") >= F.ceil(F.col("size") * PERCENT / 100)).select("class", "size", "f"), "join-still-2")
 
     # verification: one partner of each class, and the pivots, then what is not connected yet
     chosen = pairs.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
     total = left.agg(F.sum("size")).first()[0] if left is not None else 0
     if total:
         buckets = max(1, int(total) // (BUCKET // 4))
-        own = sets.join(left.select("class"), "class", "left_semi")
+        own = sets.join(left.select("class", "f"), "class")
         keyed = _index_combinations(own.withColumn("component", F.col("class")), buckets)
         stars = keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_star, "a long, b long")
         chosen = chosen.unionAll(stars).distinct()
