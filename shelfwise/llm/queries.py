@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard_join, langid, packing, toxicity, warc
+from shelfwise.llm import fingerprints, jaccard_join, langid, packing, toxicity, warc
 from shelfwise.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
