@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import fingerprints, jaccard_join, langid, packing, toxicity, warc
+from shelfwise.llm import fingerprints, html_extract, jaccard_join, langid, packing, pq_dedup, toxicity, warc
 from shelfwise.llm.common import read_table
 
 
@@ -15,6 +15,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
