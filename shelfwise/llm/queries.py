@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import fingerprints, html_extract, jaccard_join, langid, packing, pq_dedup, toxicity, warc
+from shelfwise.llm import fingerprints, html_extract, jaccard_join, langid, packing, pq_dedup, quality, spm_lattice, toxicity, warc
 from shelfwise.llm.common import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, as count and checksum, and the decoded text, as digest and comparison."""
+    docs = read_table(spark, sf_dir, "documents")
+    ids = docs.select("doc_id", "text", spm_lattice.encode_column()(F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "text", "ids", spm_lattice.decode_column()(F.col("ids")).alias("decoded"))
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -45,6 +60,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_html_extraction": op4_html_extraction,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
