@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Labels, thresholds and patterns of the reports (they must equal
-# the reference's for equal results).
+# the original's for equal results).
 # ---------------------------------------------------------------------------
 OUT_OF_STOCK = "Out of Stock"
 RESTOCK_NOW = "Restock Now"
@@ -25,7 +25,6 @@ OVERSTOCK_MAX_UNITS = 5               # ... and fewer than 5 units sold
 SEASONAL_PATTERN = "%Winter%"         # ILIKE on the product details text
 
 SLOW_MOVER_RATIO = Decimal("0.05")    # units sold < stock * 0.05 is a slow mover
-DEFAULT_BOTTOM_N = 10
 
 MONEY_OUT = "double"                  # money leaves every operator as DOUBLE
 
@@ -65,18 +64,14 @@ def cents(amount: Column) -> Column:
     return (amount * F.lit(Decimal(100))).cast("long")
 
 
-def money_from_cents(total_cents: Column) -> Column:
-    """Exact cents to DOUBLE: the nearest double to the exact amount.
+def money(total_cents: Column, exact: bool = False) -> Column:
+    """Whole cents as an amount: an exact decimal, or the double nearest to it.
 
-    Equal to ``CAST(ROUND(SUM(amount), 2) AS DOUBLE)``: the sum of cent amounts has
-    no third decimal, so the rounding changes nothing.
+    Equal to ``ROUND(SUM(amount), 2)``: the sum of cent amounts has no third decimal, so the
+    rounding changes nothing.  The decimal becomes a double once, here, and only at the outer edge.
     """
-    return (total_cents / F.lit(100)).cast(MONEY_OUT)
-
-
-def cents_of_double(amount: Column) -> Column:
-    """Back from a DOUBLE that holds a cent amount to exact cents."""
-    return F.round(amount * 100).cast("long")
+    amount = total_cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    return amount if exact else amount.cast(MONEY_OUT)
 
 
 def escape_like(text: str) -> str:

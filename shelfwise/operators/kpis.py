@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwise.functions import expressions as X
 
@@ -22,14 +21,8 @@ STRONGEST_WEAKEST = ("Business insight: %s is the strongest %s in this view (%s)
 WEAKEST_PAIR = "Business insight: %s / %s is the lowest-performing combination in this view (%s)."
 
 
-def _is_money(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
-
-
-def _exact_sum(df: DataFrame, col: str) -> Column:
-    """Sum of a result column: exact cents for money, a long sum for counts."""
-    if _is_money(df, col):
-        return X.money_from_cents(F.sum(X.cents_of_double(F.col(col).cast("double"))))
+def exact_sum(df: DataFrame, col: str) -> Column:
+    """Sum of a result column as DOUBLE: decimals are summed exactly and cast once, other numbers as they are."""
     return F.sum(col).cast("double")
 
 
@@ -39,7 +32,7 @@ def show_metrics(df: DataFrame, metric_col: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(0.0).alias("total"), F.lit(0.0).alias("highest"))
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(_exact_sum(df, metric_col), F.lit(0.0)).alias("total"),
+        F.coalesce(exact_sum(df, metric_col), F.lit(0.0)).alias("total"),
         F.coalesce(F.max(metric_col).cast("double"), F.lit(0.0)).alias("highest"),
     )
 

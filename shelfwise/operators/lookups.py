@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +49,7 @@ def filter_date_bounds(t: RetailTables) -> DataFrame:
 def inspect_table(t: RetailTables, name: str, rows: int = VIEWER_ROWS) -> DataFrame:
     """``SELECT * FROM name LIMIT 100`` on one of the nine tables.
 
-    The reference has no ORDER BY, so any 100 rows would do; ordering by the table
+    The original has no ORDER BY, so any 100 rows would do; ordering by the table
     key makes the answer repeatable.  The sort is a distributed top-k (each task
     keeps its first 100 rows), not a full sort.
     """
@@ -60,23 +58,36 @@ def inspect_table(t: RetailTables, name: str, rows: int = VIEWER_ROWS) -> DataFr
     return t.table(name).orderBy(*KEYS[name]).limit(rows)
 
 
-_STATEMENT = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+# Parsed statements that are not plain queries: commands, inserts and the like, scripts.
+_NOT_QUERIES = ("org.apache.spark.sql.catalyst.plans.logical.Command",
+                "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement",
+                "org.apache.spark.sql.catalyst.plans.logical.CompoundPlanStatement")
 
 
-def check_read_only(sql: str) -> str:
-    """Accept one SELECT/WITH statement; refuse anything else before Spark sees it."""
-    text = sql.strip().rstrip(";").strip()
-    if ";" in text:
-        raise ValueError("only a single statement is accepted")
-    if not _STATEMENT.match(text):
-        raise ValueError("only SELECT or WITH queries are accepted")
-    return text
+def check_read_only(spark: SparkSession, sql: str) -> str:
+    """Accept one query; refuse anything else, decided on Spark's parsed plan before anything runs."""
+    from py4j.java_gateway import is_instance_of
+    from pyspark.errors import ParseException
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as exc:
+        raise ValueError(f"not a single valid query: {exc}") from exc
+    gateway, todo = spark.sparkContext._gateway, [plan]
+    while todo:
+        node = todo.pop()
+        if any(is_instance_of(gateway, node, kind) for kind in _NOT_QUERIES):
+            raise ValueError("only queries are accepted")
+        for nested in (node.children(), node.innerChildren()):
+            inner = [nested.apply(i) for i in range(nested.size())]
+            todo += [n for n in inner if is_instance_of(gateway, n, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")]
+    return sql
 
 
 def adhoc_sql(t: RetailTables, sql: str, args: dict | None = None) -> DataFrame:
     """Free SQL over the nine tables (as temporary views), with optional named binds."""
+    text = check_read_only(t.spark, sql)
     t.register_views()
-    return t.spark.sql(check_read_only(sql), args=args or None)
+    return t.spark.sql(text, args=args or None)
 
 
 def ping(spark: SparkSession) -> DataFrame:

@@ -1,7 +1,7 @@
 """The five business reports, each a function ``(tables, filters) -> DataFrame``.
 
-The semantics follow the reference's SQL exactly, including its quirks (listed per
-report); the plans are written so that the one large shuffle of each report is the
+The semantics keep the original reports' quirks (listed per report); output column
+names are fixed values of those reports.  The plans are written so that the one large shuffle of each report is the
 fact join or a pre-aggregated fact, and the dimensions are joined by size (small
 ones are broadcast by the optimizer's size check, large ones sort-merge joined).
 """
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import expressions as X
 from shelfwise.functions.filters import Filters, equals_unless_all, where_all
-from shelfwise.functions.joins import fanout_left_join
 from shelfwise.sources.catalog import RetailTables
 
 
@@ -34,6 +33,20 @@ def categories_in_scope(t: RetailTables, f: Filters) -> DataFrame:
         "categoryid", F.col("name").alias("category_name"), F.col("deptcode").alias("department_code"))
 
 
+def products_in_scope(t: RetailTables, f: Filters, *cols: str) -> DataFrame:
+    """Products, with a category filter only those of the category."""
+    p = t.product.select("productid", "categoryid", *cols)
+    return p.join(categories_in_scope(t, f).select("categoryid"), "categoryid", "left_semi") if f.by_category else p
+
+
+def transactions_in_scope(t: RetailTables, f: Filters, keep, *cols: str) -> DataFrame:
+    """Transactions that pass the date condition and belong to a warehouse in scope, before any join of facts."""
+    tx = t.salestransaction.where(F.col("warehouseid").isNotNull() & keep).select("transactionid", "warehouseid", *cols)
+    if f.by_region or f.by_warehouse:
+        tx = tx.join(warehouses_in_scope(t, f), "warehouseid", "left_semi")
+    return tx
+
+
 def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str) -> DataFrame:
     """Rows carrying ``productid`` joined (inner) to product and then to its category.
 
@@ -43,7 +56,7 @@ def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str)
     broadcast size check; the plain product and category scans do (and fall
     back to a sort-merge join when they really are large).
     """
-    rows = rows.join(t.product.select("productid", "categoryid"), "productid")
+    rows = rows.join(products_in_scope(t, f), "productid")
     cats = categories_in_scope(t, f).select("categoryid", *cat_cols)
     return rows.join(cats, "categoryid").drop("categoryid")
 
@@ -51,40 +64,31 @@ def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str)
 def sold_items(t: RetailTables, f: Filters, cat_cols: tuple, wh_cols: tuple) -> DataFrame:
     """Items of in-scope transactions, with their category and warehouse attributes.
 
-    Only ids cross the one large shuffle (items and transactions meet on
-    ``transactionid``); the name filters act before it as semi-joins on the ids,
-    and the names are attached after it.  Those joins are against small
-    dimensions, so they are broadcast and keep the ``transactionid`` partitioning
-    that the per-transaction distinct count below reuses.  The final inner joins
-    drop transactions with a NULL or unknown warehouse and items whose category
+    The facts meet first, on ``transactionid``: date, region and warehouse have cut the
+    transactions before, and tables stored in buckets of that key need no exchange.
+    Product, category and warehouse follow on the rows that are left. The inner
+    joins drop transactions with a NULL or unknown warehouse and items whose category
     is unknown; the date test drops NULL dates even when the range is open.
     """
     items = t.salestransactionitem.select("transactionid", "productid", "quantity", "subtotal")
-    items = items.join(t.product.select("productid", "categoryid"), "productid")
-    if f.by_category:
-        items = items.join(categories_in_scope(t, f).select("categoryid"), "categoryid", "left_semi")
-    st = t.salestransaction
-    tx = st.where(f.date_in_range(st.transactiondate)).select("transactionid", "warehouseid")
-    if f.by_region or f.by_warehouse:
-        tx = tx.join(warehouses_in_scope(t, f), "warehouseid", "left_semi")
-    sold = items.join(tx, "transactionid")
-    sold = sold.join(categories_in_scope(t, f).select("categoryid", *cat_cols), "categoryid")
-    return sold.join(warehouses_in_scope(t, f, *wh_cols), "warehouseid")
+    sold = items.join(transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate"))), "transactionid")
+    return with_category(t, f, sold, *cat_cols).join(warehouses_in_scope(t, f, *wh_cols), "warehouseid")
 
 
 # ---------------------------------------------------------------------------
 # O1 category revenue
 # ---------------------------------------------------------------------------
 
-def category_revenue(t: RetailTables, f: Filters = Filters()) -> DataFrame:
+def category_revenue(t: RetailTables, f: Filters = Filters(), exact: bool = False) -> DataFrame:
     """Revenue, units and distinct transactions per (category name, department code).
 
     Quirks kept: grouped by name and code, not id; NULL-warehouse and NULL-date sales
     are dropped even with open filters; the whole last day of the range counts.
+    With ``exact``, revenue stays a decimal for further sums.
     """
     sold = sold_items(t, f, ("category_name", "department_code"), ())
     out = sold.groupBy("category_name", "department_code").agg(
-        X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("total_revenue"),
+        X.money(F.sum(X.cents(F.col("subtotal"))), exact).alias("total_revenue"),
         F.sum("quantity").cast("long").alias("total_units_sold"),
         F.countDistinct("transactionid").alias("transaction_count"),
     )
@@ -95,43 +99,42 @@ def category_revenue(t: RetailTables, f: Filters = Filters()) -> DataFrame:
 # O2 warehouse performance
 # ---------------------------------------------------------------------------
 
-def warehouse_performance(t: RetailTables, f: Filters = Filters()) -> DataFrame:
+def warehouse_performance(t: RetailTables, f: Filters = Filters(), exact: bool = False) -> DataFrame:
     """Revenue, transaction count and regional rank per warehouse.
 
-    The reference left-joins warehouses to transactions and filters dates in WHERE:
-    a warehouse without transactions stays with 0, one whose transactions all fall
-    outside the range disappears, NULL dates count.  With a category chosen, only
+    A warehouse without any transaction stays with 0, one whose transactions all fall
+    outside the date range disappears, NULL dates count.  With a category chosen, only
     transactions holding an item of it count, with their *whole* amount, and
     warehouses without such transactions disappear.
 
-    Here the fact is aggregated per warehouse first (partial aggregation, one row
-    per warehouse crosses the shuffle) and only then joined to the warehouses, so
-    the fact is never shuffled by the few warehouse keys.
+    Date, region and warehouse cut the transactions at the scan; the rest is aggregated per
+    warehouse (one row per warehouse and task crosses the shuffle) before it meets the
+    warehouses.  Which warehouses have transactions outside the range needs only
+    the distinct warehouse ids.
     """
-    st = t.salestransaction.select("transactionid", "warehouseid", "transactiondate", "totalamount")
-    st = st.where(F.col("warehouseid").isNotNull())
+    st = transactions_in_scope(t, f, f.date_null_or_in_range(F.col("transactiondate")), "totalamount")
     if f.by_category:
-        in_category = with_category(t, f, t.salestransactionitem.select("transactionid", "productid"))
+        in_category = t.salestransactionitem.select("transactionid", "productid").join(
+            products_in_scope(t, f).select("productid"), "productid", "left_semi")
         st = st.join(in_category.select("transactionid"), "transactionid", "left_semi")
-    keep = f.date_null_or_in_range(F.col("transactiondate"))
     per_wh = st.groupBy("warehouseid").agg(
-        F.count(F.lit(1)).alias("n_all"),
-        F.sum(F.when(keep, X.cents(F.col("totalamount")))).alias("kept_cents"),
-        F.count(F.when(keep, F.col("transactionid"))).alias("n_kept"),
-    )
+        F.sum(X.cents(F.col("totalamount"))).alias("kept_cents"), F.count("transactionid").alias("n_kept"))
     wh = warehouses_in_scope(t, f, "name", "location", "region")
     if f.by_category:
-        joined = wh.join(per_wh, "warehouseid", "inner").where(F.col("n_kept") > 0)
+        joined = wh.join(per_wh, "warehouseid")
     else:
-        joined = (wh.join(per_wh, "warehouseid", "left")
-                  .where(F.col("n_all").isNull() | (F.col("n_kept") > 0)))
+        joined = wh.join(per_wh, "warehouseid", "left")
+        if not f.open_dates:
+            seen = t.salestransaction.where(F.col("warehouseid").isNotNull()).select("warehouseid").distinct()
+            joined = joined.join(seen.withColumn("seen", F.lit(True)), "warehouseid", "left") \
+                .where(F.col("n_kept").isNotNull() | F.col("seen").isNull())
     revenue = F.coalesce(F.col("kept_cents"), F.lit(0).cast("long"))
     ranked = joined.select(
         "warehouseid",
         F.col("name").alias("warehouse_name"),
         "location",
         "region",
-        X.money_from_cents(revenue).alias("total_revenue"),
+        X.money(revenue, exact).alias("total_revenue"),
         F.coalesce(F.col("n_kept"), F.lit(0)).cast("long").alias("transaction_count"),
         F.rank().over(Window.partitionBy("region").orderBy(revenue.desc())).alias("regional_rank"),
     )
@@ -155,11 +158,14 @@ def stock_rows(t: RetailTables, f: Filters, condition, require_category: bool =
 
 
 def with_suppliers(t: RetailTables, rows: DataFrame, *supplier_cols) -> DataFrame:
-    """One row per supplier of each row's product (kept once, with NULLs, if none)."""
+    """One row per supplier of each row's product (kept once, with NULLs, if none).
+
+    Supplier meets the supply relation first, so the rows are joined once and a missing supplier
+    is never a join key.  The relation's key is (product, supplier), which bounds the fan-out.
+    """
     ps = t.productsupplier.select("productid", "supplierid", "leadtimedays")
-    fanned = fanout_left_join(rows, ps, ["productid"])
-    sup = t.supplier.select("supplierid", *supplier_cols)
-    return fanned.join(sup, "supplierid", "left")
+    supplied = ps.join(t.supplier.select("supplierid", *supplier_cols), "supplierid", "left")
+    return rows.join(supplied, "productid", "left")
 
 
 def low_inventory(t: RetailTables, f: Filters = Filters(), ordered: bool = True) -> DataFrame:
@@ -184,11 +190,11 @@ def low_inventory(t: RetailTables, f: Filters = Filters(), ordered: bool = True)
 # O4 warehouse x category revenue
 # ---------------------------------------------------------------------------
 
-def warehouse_category(t: RetailTables, f: Filters = Filters()) -> DataFrame:
+def warehouse_category(t: RetailTables, f: Filters = Filters(), exact: bool = False) -> DataFrame:
     """Revenue per (warehouse name, location, region, category name), worst first."""
     sold = sold_items(t, f, ("category_name",), (F.col("name").alias("warehouse_name"), "location", "region"))
     out = sold.groupBy("warehouse_name", "location", "region", "category_name").agg(
-        X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("category_revenue"),
+        X.money(F.sum(X.cents(F.col("subtotal"))), exact).alias("category_revenue"),
         F.sum("quantity").cast("long").alias("units_sold"),
         F.countDistinct("transactionid").alias("transaction_count"),
     )
@@ -206,10 +212,7 @@ def _inventory_for_promotion(t: RetailTables, f: Filters) -> DataFrame:
     without a category stay when no category is chosen.
     """
     inv = t.inventory.join(warehouses_in_scope(t, f, F.col("name").alias("warehouse_name")), "warehouseid")
-    prod = t.product.select("productid", "categoryid", F.col("name").alias("product_name"), "product_details",
-                            "price")
-    if f.by_category:
-        prod = prod.join(categories_in_scope(t, f).select("categoryid"), "categoryid", "left_semi")
+    prod = products_in_scope(t, f, F.col("name").alias("product_name"), "product_details")
     return inv.join(prod.drop("categoryid"), "productid")
 
 
@@ -225,34 +228,56 @@ def _promotion_groups(rows: DataFrame) -> DataFrame:
     return out.orderBy(F.col("stockquantity").desc_nulls_first())
 
 
-def units_by_product(t: RetailTables) -> DataFrame:
+def items_in_scope(t: RetailTables, f: Filters, *cols: str) -> DataFrame:
+    """Items, with a category filter only those of its products."""
+    items = t.salestransactionitem.select("productid", "quantity", *cols)
+    return items.join(products_in_scope(t, f).select("productid"), "productid", "left_semi") if f.by_category else items
+
+
+def units_by_product(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """All-time, all-warehouse units per product: one pre-aggregated shuffle."""
-    return (t.salestransactionitem.groupBy("productid")
-            .agg(F.sum("quantity").alias("units")))
+    return items_in_scope(t, f).groupBy("productid").agg(F.sum("quantity").alias("units"))
 
 
 def promotion_candidates(t: RetailTables, f: Filters = Filters()) -> DataFrame:
-    """Promotion advice per inventory group, exactly as the reference computes it.
+    """Promotion advice per inventory group, exactly as the original report computes it.
 
     Units sold ignore the date range and the warehouse: items are joined on the
     product only, and the date test sits in a further LEFT JOIN whose columns are
     never used.  Inventory rows equal in warehouse name, product name, stock,
     reorder level and details merge and their units add up.
 
-    The reference multiplies each inventory row by all items of its product; here
+    The original multiplies each inventory row by all items of its product; here
     the items are summed per product first and the sums summed per group, which is
     equal because addition is associative and each item belongs to one transaction.
     """
-    rows = _inventory_for_promotion(t, f).join(units_by_product(t), "productid", "left")
+    rows = _inventory_for_promotion(t, f).join(units_by_product(t, f), "productid", "left")
     return _promotion_groups(rows)
 
 
 def promotion_candidates_scoped(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """O5 with units counted in the inventory row's own warehouse and the date range."""
-    st = t.salestransaction
-    tx = st.where(f.date_in_range(st.transactiondate)).select("transactionid", "warehouseid")
-    units = (t.salestransactionitem.select("transactionid", "productid", "quantity")
-             .join(tx, "transactionid")
-             .groupBy("warehouseid", "productid").agg(F.sum("quantity").alias("units")))
+    tx = transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate")))
+    units = items_in_scope(t, f, "transactionid").join(tx, "transactionid") \
+        .groupBy("warehouseid", "productid").agg(F.sum("quantity").alias("units"))
     rows = _inventory_for_promotion(t, f).join(units, ["warehouseid", "productid"], "left")
     return _promotion_groups(rows)
+
+
+# ---------------------------------------------------------------------------
+# Order as a column
+# ---------------------------------------------------------------------------
+
+def low_inventory_ordered(t: RetailTables, f: Filters = Filters()) -> DataFrame:
+    """The low-stock list with each row's position in its warehouse's list, ties broken by all columns."""
+    rows = low_inventory(t, f, ordered=False)
+    order = [X.urgency(F.col("stockquantity"), F.col("reorderlevel")), F.col("leadtimedays").desc_nulls_last()]
+    ties = [F.col(c).asc_nulls_last() for c in ("product_name", "supplier_name", "stockquantity", "reorderlevel")]
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("warehouse_name").orderBy(*order, *ties)))
+
+
+def warehouse_category_bottom(t: RetailTables, f: Filters = Filters(), n: int = 10) -> DataFrame:
+    """The ``n`` weakest warehouse × category rows with their position: numbered after a distributed top-k."""
+    keys = [F.col(c).asc_nulls_last() for c in ("category_revenue", "warehouse_name", "category_name", "location", "region")]
+    low = warehouse_category(t, f).orderBy(*keys).limit(n)
+    return low.withColumn("position", F.row_number().over(Window.orderBy(*keys)))

@@ -1,12 +1,14 @@
 """The copilot's business rules, as deterministic operators.
 
-The reference hands these rules to a language model that writes SQL; here each
+The original hands these rules to a language model that writes SQL; here each
 rule is an operator of its own.  ``order="worst"`` gives the ascending order the
 rules prescribe for 'underperforming', 'worst' or 'low'.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,7 @@ WORST_WORDS = ("underperforming", "worst", "low")
 
 def order_for(question: str) -> str:
     """'worst' when the question uses one of the words above, else 'best'."""
-    q = question.lower()
-    return "worst" if any(w in q for w in WORST_WORDS) else "best"
+    return "worst" if set(re.findall(r"[a-z]+", question.lower())) & set(WORST_WORDS) else "best"
 
 
 def _by(col: str, order: str, *ties: str):
@@ -39,9 +40,9 @@ def _check_order(order: str) -> None:
 def rule_category_revenue(t: RetailTables, order: str = "best") -> DataFrame:
     """SUM(subtotal) per category name: every sale, any date, any warehouse."""
     _check_order(order)
-    items = with_category(t, Filters(), t.salestransactionitem.select("productid", "subtotal"), "category_name")
-    out = items.groupBy("category_name").agg(
-        X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("total_revenue"))
+    per_product = t.salestransactionitem.groupBy("productid").agg(F.sum(X.cents(F.col("subtotal"))).alias("c"))
+    out = with_category(t, Filters(), per_product, "category_name").groupBy("category_name").agg(
+        X.money(F.sum("c")).alias("total_revenue"))
     return out.orderBy(*_by("total_revenue", order, "category_name"))
 
 
@@ -55,7 +56,7 @@ def rule_warehouse_sales(t: RetailTables, order: str = "best") -> DataFrame:
     per_id = (t.salestransaction.where(F.col("warehouseid").isNotNull())
               .groupBy("warehouseid").agg(F.sum(X.cents(F.col("totalamount"))).alias("c")))
     named = per_id.join(t.warehouse.select("warehouseid", F.col("name").alias("warehouse_name")), "warehouseid")
-    out = named.groupBy("warehouse_name").agg(X.money_from_cents(F.sum("c")).alias("total_sales"))
+    out = named.groupBy("warehouse_name").agg(X.money(F.sum("c")).alias("total_sales"))
     return out.orderBy(*_by("total_sales", order, "warehouse_name"))
 
 
@@ -67,19 +68,20 @@ def rule_reorder_contacts(t: RetailTables) -> DataFrame:
                       "supplier_name", "contactperson", "email", "phone")
 
 
-def rule_worst_pairs(t: RetailTables, n: int = X.DEFAULT_BOTTOM_N) -> DataFrame:
-    """The ``n`` warehouse/category pairs with the lowest SUM(subtotal), any date.
+def rule_worst_pairs(t: RetailTables, n: int | None = None) -> DataFrame:
+    """Warehouse/category pairs by SUM(subtotal), lowest first, any date; with ``n`` only the lowest ``n``.
 
-    A bottom-n is the feature here; Spark runs ``orderBy().limit(n)`` as a
-    distributed take-ordered, each task keeping only its own n best rows.
+    Items meet their transactions first and are summed per (warehouse, product), so names and categories
+    are attached to sums.  A bottom-n runs as a distributed take-ordered.
     """
-    items = with_category(t, Filters(), t.salestransactionitem.select("transactionid", "productid", "subtotal"),
-                          "category_name")
-    tx = t.salestransaction.select("transactionid", "warehouseid").join(
+    tx = t.salestransaction.where(F.col("warehouseid").isNotNull()).select("transactionid", "warehouseid")
+    sums = t.salestransactionitem.select("transactionid", "productid", "subtotal").join(tx, "transactionid") \
+        .groupBy("warehouseid", "productid").agg(F.sum(X.cents(F.col("subtotal"))).alias("c"))
+    named = with_category(t, Filters(), sums, "category_name").join(
         t.warehouse.select("warehouseid", F.col("name").alias("warehouse_name")), "warehouseid")
-    pairs = items.join(tx, "transactionid").groupBy("warehouse_name", "category_name").agg(
-        X.money_from_cents(F.sum(X.cents(F.col("subtotal")))).alias("category_revenue"))
-    return pairs.orderBy(*_by("category_revenue", "worst", "warehouse_name", "category_name")).limit(n)
+    pairs = named.groupBy("warehouse_name", "category_name").agg(X.money(F.sum("c")).alias("category_revenue"))
+    pairs = pairs.orderBy(*_by("category_revenue", "worst", "warehouse_name", "category_name"))
+    return pairs if n is None else pairs.limit(n)
 
 
 def trapped_capital(t: RetailTables) -> DataFrame:

@@ -13,35 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions import expressions as X
-
 # Axis head-room of the category chart and of the automatic chart.
 CATEGORY_AXIS_FACTOR = 1.1
 AUTO_AXIS_FACTOR = 1.2
 
 
-def _sum_money(col: str) -> Column:
-    return X.money_from_cents(F.sum(X.cents_of_double(F.col(col))))
+def _total(col: str) -> Column:
+    """Sum of decimals (exactly) or doubles, as DOUBLE at the edge."""
+    return F.sum(col).cast("double")
 
 
 def chart_category_revenue(o1: DataFrame) -> DataFrame:
     """Revenue per category name, with the y-axis top (largest bar × 1.1)."""
-    axis_top = o1.select(F.max("total_revenue") * CATEGORY_AXIS_FACTOR).scalar()
-    return (o1.groupBy("category_name").agg(_sum_money("total_revenue").alias("total_revenue"))
-            .select("category_name", "total_revenue", axis_top.alias("axis_top")))
+    by_name = o1.groupBy("category_name").agg(_total("total_revenue").alias("total_revenue"), F.max("total_revenue").alias("m"))
+    axis_top = by_name.select(F.max("m").cast("double") * CATEGORY_AXIS_FACTOR).scalar()
+    return by_name.select("category_name", "total_revenue", axis_top.alias("axis_top"))
 
 
 def revenue_share(o1: DataFrame) -> DataFrame:
-    """Pie data: revenue per category name and its share of the total."""
-    by_name = o1.groupBy("category_name").agg(_sum_money("total_revenue").alias("total_revenue"))
-    total = o1.select(_sum_money("total_revenue")).scalar()
-    return by_name.select("category_name", "total_revenue",
-                          (F.col("total_revenue") / total).alias("share"))
+    """Pie data: revenue per category name and its share of the total (NULL where the total is 0)."""
+    by_name = o1.groupBy("category_name").agg(F.sum("total_revenue").alias("s"))
+    total = by_name.select(_total("s")).scalar()
+    revenue = F.col("s").cast("double")
+    return by_name.select("category_name", revenue.alias("total_revenue"), F.try_divide(revenue, total).alias("share"))
 
 
 def chart_warehouse_revenue(o2: DataFrame) -> DataFrame:
     """Revenue per warehouse name, coloured by region."""
-    return o2.groupBy("warehouse_name", "region").agg(_sum_money("total_revenue").alias("total_revenue"))
+    return o2.groupBy("warehouse_name", "region").agg(_total("total_revenue").alias("total_revenue"))
 
 
 def stock_vs_reorder(o3: DataFrame) -> DataFrame:
@@ -68,10 +67,9 @@ def chart_promotion_stock(o5: DataFrame) -> DataFrame:
             .agg(F.sum("stockquantity").cast("long").alias("stockquantity")))
 
 
-# Result columns whose values the dashboard's table library keeps as Python objects
-# (text, dates, exact decimals) count as labels; integer and float columns as numbers.
-_LABEL_TYPES = (T.StringType, T.DateType, T.DecimalType)
-_NUMBER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+# Text and dates are labels; every kind of number, decimals included, is a number.
+_LABEL_TYPES = (T.StringType, T.DateType)
+_NUMBER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def pick_auto_columns(df: DataFrame) -> tuple[str, str] | None:
@@ -90,7 +88,7 @@ def auto_series(df: DataFrame) -> DataFrame | None:
     if picked is None:
         return None
     x, y = picked
-    is_money = isinstance(df.schema[y].dataType, (T.FloatType, T.DoubleType))
-    total = _sum_money(y) if is_money else F.sum(y).cast("long")
-    axis_top = df.select(F.max(F.col(y).cast("double")) * AUTO_AXIS_FACTOR).scalar()
-    return df.groupBy(x).agg(total.alias(y)).select(x, y, axis_top.alias("axis_top"))
+    whole = isinstance(df.schema[y].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    by_label = df.groupBy(x).agg((F.sum(y).cast("long") if whole else _total(y)).alias(y), F.max(y).alias("_max"))
+    axis_top = by_label.select(F.max("_max").cast("double") * AUTO_AXIS_FACTOR).scalar()
+    return by_label.select(x, y, axis_top.alias("axis_top"))

@@ -26,18 +26,24 @@ register("promotion_candidates_filtered", lambda t: R.promotion_candidates(t, NA
 register("promotion_candidates_scoped", lambda t: R.promotion_candidates_scoped(t, NARROW),
          O.with_tables(O.promotion_candidates_scoped(NARROW)))
 
+register("promotion_candidates_scoped_open", lambda t: R.promotion_candidates_scoped(t, OPEN),
+         O.with_tables(O.promotion_candidates_scoped(OPEN)))
+register("low_inventory_ordered", lambda t: R.low_inventory_ordered(t, OPEN), O.with_tables(O.low_inventory_ordered(OPEN)))
+register("warehouse_category_bottom10", lambda t: R.warehouse_category_bottom(t, OPEN, 10),
+         O.with_tables(O.warehouse_category_bottom(OPEN, 10)))
+
 # -- K: key figures and insights over the reports ------------------------------
 from shelfwise.operators import kpis as K  # noqa: E402
 from shelfwise.operators import lookups as L  # noqa: E402
 from shelfwise.operators import rules as P  # noqa: E402
 from shelfwise.operators import series as C  # noqa: E402
-from shelfwise.sources.schema import KEYS  # noqa: E402
+from shelfwise.sources.schema import KEYS, TABLE_NAMES  # noqa: E402
 
-register("kpi_category", lambda t: K.show_metrics(R.category_revenue(t, OPEN), "total_revenue"),
+register("kpi_category", lambda t: K.show_metrics(R.category_revenue(t, OPEN, exact=True), "total_revenue"),
          O.metrics(O.category_revenue(OPEN), "total_revenue"))
-register("kpi_warehouse", lambda t: K.show_metrics(R.warehouse_performance(t, OPEN), "total_revenue"),
+register("kpi_warehouse", lambda t: K.show_metrics(R.warehouse_performance(t, OPEN, exact=True), "total_revenue"),
          O.metrics(O.warehouse_performance(OPEN), "total_revenue"))
-register("kpi_warehouse_category", lambda t: K.show_metrics(R.warehouse_category(t, OPEN), "category_revenue"),
+register("kpi_warehouse_category", lambda t: K.show_metrics(R.warehouse_category(t, OPEN, exact=True), "category_revenue"),
          O.metrics(O.warehouse_category(OPEN), "category_revenue"))
 register("kpi_promotion", lambda t: K.promotion_metrics(R.promotion_candidates(t, OPEN)),
          O.promotion_metrics(O.promotion_candidates(OPEN)))
@@ -45,6 +51,8 @@ register("kpi_low_inventory", lambda t: K.low_inventory_metrics(R.low_inventory(
          O.low_inventory_metrics(O.low_inventory(OPEN)))
 register("promotion_flagged", lambda t: K.promotion_flagged(R.promotion_candidates(t, NARROW)),
          O.promotion_flagged(O.promotion_candidates(NARROW)))
+register("promotion_flagged_open", lambda t: K.promotion_flagged(R.promotion_candidates(t, OPEN)),
+         O.promotion_flagged(O.promotion_candidates(OPEN)))
 register("insight_category",
          lambda t: K.simple_insight(R.category_revenue(t, OPEN), "category_name", "total_revenue", "category"),
          O.insight(O.category_revenue(OPEN), "category_name", "total_revenue", "category"))
@@ -58,11 +66,11 @@ register("insight_weakest_pair", lambda t: K.weakest_pair(R.warehouse_category(t
          O.weakest_pair(O.warehouse_category(OPEN)))
 
 # -- C: chart series ------------------------------------------------------------
-register("chart_category_revenue", lambda t: C.chart_category_revenue(R.category_revenue(t, OPEN)),
+register("chart_category_revenue", lambda t: C.chart_category_revenue(R.category_revenue(t, OPEN, exact=True)),
          O.chart_category_revenue(O.category_revenue(OPEN)))
-register("revenue_share", lambda t: C.revenue_share(R.category_revenue(t, OPEN)),
+register("revenue_share", lambda t: C.revenue_share(R.category_revenue(t, OPEN, exact=True)),
          O.revenue_share(O.category_revenue(OPEN)))
-register("chart_warehouse_revenue", lambda t: C.chart_warehouse_revenue(R.warehouse_performance(t, OPEN)),
+register("chart_warehouse_revenue", lambda t: C.chart_warehouse_revenue(R.warehouse_performance(t, OPEN, exact=True)),
          O.chart_warehouse_revenue(O.warehouse_performance(OPEN)))
 register("stock_vs_reorder", lambda t: C.stock_vs_reorder(R.low_inventory(t, OPEN)),
          O.stock_vs_reorder(O.low_inventory(OPEN)))
@@ -72,7 +80,7 @@ register("chart_warehouse_category", lambda t: C.chart_warehouse_category(R.ware
          O.chart_warehouse_category(O.warehouse_category(OPEN)))
 register("chart_promotion_stock", lambda t: C.chart_promotion_stock(R.promotion_candidates(t, OPEN)),
          O.chart_promotion_stock(O.promotion_candidates(OPEN)))
-register("auto_series", lambda t: C.auto_series(R.warehouse_category(t, OPEN)),
+register("auto_series", lambda t: C.auto_series(R.warehouse_category(t, OPEN, exact=True)),
          O.auto_series_money(O.warehouse_category(OPEN), "warehouse_name", "category_revenue"))
 
 # -- L: look-ups, viewer, free SQL ---------------------------------------------
@@ -80,15 +88,17 @@ register("filter_regions", L.filter_regions, O.FILTER_REGIONS)
 register("filter_warehouses", L.filter_warehouses, O.FILTER_WAREHOUSES)
 register("filter_categories", L.filter_categories, O.FILTER_CATEGORIES)
 register("filter_date_bounds", L.filter_date_bounds, O.FILTER_DATE_BOUNDS)
-for _table in ("inventory", "warehouse", "product", "salestransaction", "productsupplier"):
+for _table in TABLE_NAMES:
     register(f"inspect_{_table}", lambda t, _n=_table: L.inspect_table(t, _n), O.inspect(_table, KEYS[_table]))
 register("adhoc_sql", lambda t: L.adhoc_sql(t, O.ADHOC_SQL, O.ADHOC_ARGS), O.adhoc_oracle())
 
+register("auto_series_adhoc", lambda t: C.auto_series(L.adhoc_sql(t, O.ADHOC_SERIES_SQL)), O.auto_series_adhoc())
+
 # -- P: copilot rules ------------------------------------------------------------
 register("rule_category_revenue", P.rule_category_revenue, O.RULE_CATEGORY_REVENUE)
-register("rule_warehouse_sales", lambda t: P.rule_warehouse_sales(t, "worst"), O.RULE_WAREHOUSE_SALES)
+register("rule_warehouse_sales", lambda t: P.rule_warehouse_sales(t, P.order_for("Which warehouses are underperforming?")), O.RULE_WAREHOUSE_SALES)
 register("rule_reorder_contacts", P.rule_reorder_contacts, O.RULE_REORDER_CONTACTS)
-register("rule_worst_pairs", lambda t: P.rule_worst_pairs(t, 10), O.rule_worst_pairs(10))
+register("rule_worst_pairs", P.rule_worst_pairs, O.rule_worst_pairs())
 register("trapped_capital", P.trapped_capital, O.TRAPPED_CAPITAL)
 register("search_warehouses", lambda t: P.search_warehouses(t, "nation_1"), O.search_warehouses("nation_1"))
 register("search_products", lambda t: P.search_products(t, "RED W"), O.search_products("RED W"))

@@ -7,7 +7,7 @@ setting is unset (local tests, the bench).
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -62,7 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached without a cluster setting (tests, local bench runs).
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One machine (tests, local bench runs): a folder of its own will do.
         configured = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
@@ -70,7 +72,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one job's output."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -8,19 +8,17 @@ projections and filters, so Parquet pushdown and column pruning reach the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.sources.schema import MONEY
 
 # Fixed values of the test-data mapping (FIXTURES.md §2).
 NULL_WAREHOUSE_NATION = 24          # customers of this nation buy without a warehouse
-UNSOLD_PRODUCT_RESIDUE = 3          # productid % 10 == 3 is never sold
 NO_DETAILS_SIZE_RESIDUE = 7         # p_size % 10 == 7 has no product details
 SEASONS = ("Winter", "Spring", "Summer", "Autumn")   # by p_size % 4
-SUPPLY_SAMPLE_MODULUS = 8           # (partkey + suppkey) % 8 == 0 are supply pairs
 NO_LEADTIME_SUPPLIER_MODULUS = 11   # suppkey % 11 == 0 has no lead time
-INVENTORY_SKIP_MODULUS = 3          # (partkey + nationkey) % 3 == 0 is not stocked
+CATEGORY_ID_DIGITS = 15             # hexadecimal digits of the type name's MD5 that make its id
 JOIN_BASE_DATE = "1995-01-01"
 
 
@@ -48,12 +46,15 @@ def warehouse(d: DriverTables) -> DataFrame:
     )
 
 
+def category_id(type_name):
+    """The id of a type: a number from its name's digest, so no task ranks all names."""
+    return F.conv(F.substring(F.md5(type_name.cast("binary")), 1, CATEGORY_ID_DIGITS), 16, 10).cast("long")
+
+
 def category(d: DriverTables) -> DataFrame:
-    # The id is the rank of the type name.  The window runs over the *distinct* type
-    # names only: a dimension whose size is bounded by the type domain, not by the data.
     types = d.read("part").select("p_type").distinct()
     return types.select(
-        F.dense_rank().over(Window.orderBy("p_type")).cast("long").alias("categoryid"),
+        category_id(F.col("p_type")).alias("categoryid"),
         F.col("p_type").alias("name"),
         F.concat(F.lit("D-"), F.substring("p_type", 1, 3)).alias("deptcode"),
     )
@@ -88,16 +89,15 @@ def _season(size):
     return expr
 
 
-def product(d: DriverTables, category_df: DataFrame) -> DataFrame:
+def product(d: DriverTables) -> DataFrame:
     part = d.read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    cat = category_df.select(F.col("categoryid"), F.col("name").alias("p_type"))
     details = F.concat(
         F.lit('{"brand": "'), F.col("p_brand"),
         F.lit('", "season": "'), _season(F.col("p_size")), F.lit('"}'),
     )
-    return part.join(cat, "p_type").select(
+    return part.select(
         F.col("p_partkey").cast("long").alias("productid"),
-        F.col("categoryid"),
+        category_id(F.col("p_type")).alias("categoryid"),
         F.col("p_name").alias("name"),
         F.col("p_retailprice").cast(MONEY).alias("price"),
         F.when(F.col("p_size") % 10 == NO_DETAILS_SIZE_RESIDUE, F.lit(None).cast("string"))
@@ -105,12 +105,14 @@ def product(d: DriverTables, category_df: DataFrame) -> DataFrame:
     )
 
 
+def supply_pairs(d: DriverTables) -> DataFrame:
+    """Every (part, supplier) pair that was ever delivered."""
+    return d.read("lineitem").select("l_partkey", "l_suppkey").distinct()
+
+
 def productsupplier(d: DriverTables) -> DataFrame:
-    pairs = (d.read("lineitem").select("l_partkey", "l_suppkey")
-             .where((F.col("l_partkey") + F.col("l_suppkey")) % SUPPLY_SAMPLE_MODULUS == 0)
-             .distinct())
     part_key, supp_key = F.col("l_partkey"), F.col("l_suppkey")
-    return pairs.select(
+    return supply_pairs(d).select(
         part_key.cast("long").alias("productid"),
         supp_key.cast("long").alias("supplierid"),
         (600 + (part_key * 7 + supp_key * 3) % 400).cast(MONEY).alias("supplycost"),
@@ -120,22 +122,12 @@ def productsupplier(d: DriverTables) -> DataFrame:
 
 
 def inventory(d: DriverTables) -> DataFrame:
-    """Every (product, warehouse) pair with (productid + warehouseid) % 3 != 0.
-
-    Written as an equi-join on the residue class mod 3 instead of a product with a
-    filter: each part is expanded to the two residues it may pair with and meets
-    only the nations of those residues.  ``nation`` has a fixed size (25 rows by the
-    TPC-H specification), so it is broadcast explicitly.
-    """
-    m = INVENTORY_SKIP_MODULUS
-    part = d.read("part").select("p_partkey")
-    nation = d.read("nation").select("n_nationkey")
-    residues = F.array(*[F.lit(r) for r in range(m)])
-    parts = (part.select("p_partkey", F.explode(residues).alias("residue"))
-             .where((F.col("p_partkey") % m + F.col("residue")) % m != 0))
-    nations = nation.select("n_nationkey", (F.col("n_nationkey") % m).alias("residue"))
-    pk, nk = F.col("p_partkey"), F.col("n_nationkey")
-    return parts.join(F.broadcast(nations), "residue").select(
+    """A product is stocked in the warehouse of each nation that one of its suppliers is in."""
+    nations = d.read("supplier").select("s_suppkey", "s_nationkey")
+    pairs = supply_pairs(d)
+    stocked = pairs.join(nations, pairs.l_suppkey == nations.s_suppkey).select("l_partkey", "s_nationkey").distinct()
+    pk, nk = F.col("l_partkey"), F.col("s_nationkey")
+    return stocked.select(
         nk.cast("long").alias("warehouseid"),
         pk.cast("long").alias("productid"),
         ((pk * 7 + nk * 13) % 101).cast("int").alias("stockquantity"),
@@ -157,9 +149,7 @@ def salestransaction(d: DriverTables) -> DataFrame:
 
 
 def salestransactionitem(d: DriverTables) -> DataFrame:
-    li = (d.read("lineitem")
-          .select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
-          .where(F.col("l_partkey") % 10 != UNSOLD_PRODUCT_RESIDUE))
+    li = d.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
     cents = F.round(F.col("l_extendedprice") * 100)
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("lineitemid"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions import expressions as X
-from shelfwise.streaming.sources import event_stream, event_time, run_to_completion, utc_day
+from shelfwise.streaming.sources import event_stream, event_time, latest, read_epochs, run_available, utc_day, write_epoch
 
 # How late an event may arrive and still count in its day.
 LATENESS = "1 day"
@@ -28,17 +28,22 @@ def daily_sales_aggregation(events: DataFrame, lateness: str = LATENESS) -> Data
             .agg(F.count(F.lit(1)).alias("events"), F.sum("cents").alias("cents")))
 
 
-def _shape(agg: DataFrame) -> DataFrame:
+def shape(agg: DataFrame) -> DataFrame:
     return agg.select(utc_day(F.col("window.start")).alias("day"), "event_type", "events",
-                      X.money_from_cents(F.col("cents")).alias("total_value"))
+                      X.money(F.col("cents")).alias("total_value"))
 
 
-def stream_daily_sales(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Run the stream over everything available (complete mode) and read its result."""
-    agg = daily_sales_aggregation(event_stream(spark, sf_dir, files_per_trigger))
+RESULT = "day date, event_type string, events long, total_value double"
+
 
-    def write(batch: DataFrame, epoch: int, out: str) -> None:
-        _shape(batch).write.mode("overwrite").parquet(out)
+def stream_daily_sales(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None,
+                       location: str | None = None) -> DataFrame:
+    """Run the stream over everything available and read the totals.
 
-    out = run_to_completion(agg, "daily-sales", write, "complete")
-    return spark.read.parquet(out)
+    In update mode a batch carries only the totals it changed, and the watermark lets the state of closed
+    days go; the table of totals is the last row of each day and type.
+    """
+    agg = daily_sales_aggregation(event_stream(spark, sf_dir, files_per_trigger))
+    out = run_available(agg, "daily-sales", lambda batch, epoch, folder: write_epoch(shape(batch), epoch, f"{folder}/totals"),
+                        location=location)
+    return latest(read_epochs(spark, f"{out}/totals", RESULT), ["day", "event_type"])

@@ -8,26 +8,38 @@ from pyspark.sql import functions as F
 from shelfwise.session import scratch_path
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
+def event_schema(spark: SparkSession, sf_dir: str):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """``events.parquet`` of a folder as a file stream (schema taken from the file).
+    """``events.parquet`` of a folder as a file stream (schema taken from the data).
 
-    The file source wants a folder; the glob filter picks the one table out of it.
+    A folder of part files is watched as a whole, so files that arrive later are read too.  A single file
+    is picked out of its folder by name, because the file source wants a folder.
     """
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    root = sf_dir.rstrip("/")
+    reader = spark.readStream.schema(event_schema(spark, sf_dir))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+    if _is_folder(spark, f"{root}/events.parquet"):
+        return reader.parquet(f"{root}/events.parquet")
+    return reader.option("pathGlobFilter", "events.parquet").parquet(root)
 
 
 def event_time(ts_ntz: Column) -> Column:
-    """A ``timestamp_ntz`` wall-clock time as the instant of that wall clock in UTC.
+    """A ``timestamp_ntz`` wall-clock time as the instant of that wall clock in UTC, to the microsecond.
 
     Watermarks need a zone-aware timestamp; building it field by field keeps day
     windows on the calendar days of the data whatever the session's time zone is.
     """
     return F.make_timestamp(F.year(ts_ntz), F.month(ts_ntz), F.dayofmonth(ts_ntz), F.hour(ts_ntz),
-                            F.minute(ts_ntz), F.second(ts_ntz), F.lit("UTC"))
+                            F.minute(ts_ntz), F.date_part(F.lit("SECOND"), ts_ntz), F.lit("UTC"))
 
 
 def utc_day(ts: Column) -> Column:
@@ -35,17 +47,17 @@ def utc_day(ts: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
 
 
-def run_to_completion(stream_df: DataFrame, label: str, write_batch, output_mode: str = "complete") -> str:
-    """Process everything available, batch by batch, and stop.
+def run_available(stream_df: DataFrame, label: str, write_batch, output_mode: str = "update", location: str | None = None) -> str:
+    """Process everything available, batch by batch, and stop; returns the output folder.
 
-    The checkpoint and the output live in the session's shared checkpoint folder,
-    so a restarted driver resumes where the last committed batch ended.  Returns
-    the output folder.
+    ``location`` holds output and checkpoint.  Calling again with the same location resumes where the last
+    committed batch ended; without one, a new folder of the session's shared checkpoint folder is taken.
+    ``write_batch(batch, epoch, folder)`` must be repeatable: a batch whose commit was lost runs again.
     """
     spark = stream_df.sparkSession
-    out = scratch_path(spark, label)
+    out = location.rstrip("/") if location else scratch_path(spark, label)
     query = (stream_df.writeStream.outputMode(output_mode)
-             .option("checkpointLocation", out + "-checkpoint")
+             .option("checkpointLocation", f"{out}/checkpoint")
              .foreachBatch(lambda batch, epoch: write_batch(batch, epoch, out))
              .trigger(availableNow=True)
              .start())
@@ -53,3 +65,27 @@ def run_to_completion(stream_df: DataFrame, label: str, write_batch, output_mode
     if query.exception() is not None:
         raise RuntimeError(f"stream {label} failed: {query.exception()}")
     return out
+
+
+def write_epoch(batch: DataFrame, epoch: int, folder: str) -> None:
+    """One folder per epoch, overwritten when the epoch runs again."""
+    batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch:09d}")
+
+
+def read_epochs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What all epochs have written, with ``epoch``; no rows where no batch has run yet."""
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], schema + ", epoch int")
+    return spark.read.schema(schema + ", epoch int").option("basePath", folder).parquet(folder)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of its last epoch."""
+    rest = [c for c in rows.columns if c not in keys and c != "epoch"]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"))
+    return best.select(*keys, *[F.col("r")[c].alias(c) for c in rest])

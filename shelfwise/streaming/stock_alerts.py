@@ -2,9 +2,8 @@
 
 Purchases are counted per (warehouse, product) in streaming state; each
 micro-batch joins the counts with the inventory table and applies the low-stock
-status of the inventory report to what remains on the shelf.  In complete mode the
-output is the current alert table; in update mode each batch carries only the
-pairs whose count changed, i.e. a feed of newly reached levels.
+status of the inventory report to what remains on the shelf.  A batch carries only pairs
+whose count changed; out of them come the current alert table and a feed of newly reached levels.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import expressions as X
 from shelfwise.sources.catalog import RetailTables, load_driver_tables
-from shelfwise.streaming.sources import event_stream, run_to_completion
+from shelfwise.streaming.sources import event_stream, latest, read_epochs, run_available, write_epoch
 
 # Fixed values of the event mapping: a purchase of one unit of product props.k in
 # warehouse user_id % 25.
@@ -41,15 +40,43 @@ def alerts(sold: DataFrame, inventory: DataFrame) -> DataFrame:
             .withColumn("inventory_status", X.inventory_status(F.col("remaining"), F.col("reorderlevel"))))
 
 
-def stream_stock_alerts(spark: SparkSession, sf_dir: str, tables: RetailTables | None = None,
-                        output_mode: str = "complete", files_per_trigger: int | None = None) -> DataFrame:
+RESULT = ("warehouseid long, productid long, stockquantity int, units_sold long, remaining long, reorderlevel int, "
+          "inventory_status string")
+PAIR = ["warehouseid", "productid"]
+
+
+def run_stock_alerts(spark: SparkSession, sf_dir: str, tables: RetailTables | None = None,
+                     files_per_trigger: int | None = None, location: str | None = None) -> str:
+    """Run the alert stream over everything available; returns its folder.
+
+    Each epoch writes the alerted pairs whose count changed (``current``) and, of these, the ones that
+    reached another level than in the epochs before (``feed``).  Both are written per epoch from
+    earlier epochs alone, so a repeated epoch writes the same again.
+    """
     tables = tables or load_driver_tables(spark, sf_dir)
-    counts = sold_counts(event_stream(spark, sf_dir, files_per_trigger))
     inventory = tables.inventory
+    counts = sold_counts(event_stream(spark, sf_dir, files_per_trigger))
+
+    def write(batch: DataFrame, epoch: int, folder: str) -> None:
+        session = batch.sparkSession
+        now = alerts(batch, inventory).select(*[c.split()[0] for c in RESULT.split(", ")])
+        write_epoch(now, epoch, f"{folder}/current")
+        now = read_epochs(session, f"{folder}/current", RESULT).where(F.col("epoch") == epoch).drop("epoch")
+        earlier = read_epochs(session, f"{folder}/feed", RESULT).where(F.col("epoch") < epoch)
+        known = latest(earlier, PAIR).select(*PAIR, F.col("inventory_status").alias("known"))
+        changed = now.join(known, PAIR, "left").where(~F.col("inventory_status").eqNullSafe(F.col("known"))).drop("known")
+        write_epoch(changed, epoch, f"{folder}/feed")
+
+    return run_available(counts, "stock-alerts", write, location=location)
+
+
+def stream_stock_alerts(spark: SparkSession, sf_dir: str, tables: RetailTables | None = None,
+                        files_per_trigger: int | None = None, location: str | None = None) -> DataFrame:
+    """The current alert table: the last row of each alerted pair."""
+    out = run_stock_alerts(spark, sf_dir, tables, files_per_trigger, location)
+    return latest(read_epochs(spark, f"{out}/current", RESULT), PAIR)
 
-    def write(batch: DataFrame, epoch: int, out: str) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        alerts(batch, inventory).write.mode(mode).parquet(out)
 
-    out = run_to_completion(counts, "stock-alerts", write, output_mode)
-    return spark.read.parquet(out)
+def stock_alert_feed(spark: SparkSession, location: str) -> DataFrame:
+    """Level changes in the order of the epochs: a pair appears once for each level it has reached."""
+    return read_epochs(spark, f"{location.rstrip('/')}/feed", RESULT)

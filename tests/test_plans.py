@@ -36,14 +36,29 @@ def test_open_category_filter_plans_no_semi_join(small_tables):
 
 
 def test_promotion_units_do_not_read_transactions(small_tables):
-    # The reference's date-filtered join to transactions changes nothing; it is left out.
+    # The original's date-filtered join to transactions changes nothing; it is left out.
     assert "orders.parquet" not in plan_text(R.promotion_candidates(small_tables, NARROW))
 
 
-@pytest.mark.parametrize("report", [R.category_revenue, R.warehouse_performance, R.low_inventory,
-                                    R.warehouse_category, R.promotion_candidates])
-def test_reports_never_funnel_into_one_partition(golden, report):
-    assert "SinglePartition" not in plan_text(report(golden, Filters()))
+REPORTS = [R.category_revenue, R.warehouse_performance, R.low_inventory, R.warehouse_category, R.promotion_candidates]
+
+
+@pytest.mark.parametrize("report", REPORTS)
+@pytest.mark.parametrize("tables", ["golden", "small_tables"])
+def test_reports_never_funnel_into_one_partition(request, tables, report):
+    assert "SinglePartition" not in plan_text(report(request.getfixturevalue(tables), Filters()))
+
+
+@pytest.mark.parametrize("f", [NARROW, Filters(category="PROMO", start_date="1996-01-01", end_date="1996-01-03"),
+                               Filters(start_date="1996-01-01", end_date="1996-01-03")])
+def test_dates_of_the_warehouse_report_reach_the_scan(small_tables, f):
+    filters = " ".join(pushed_filters(R.warehouse_performance(small_tables, f)))
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in filters
+
+
+def test_inventory_is_read_once_by_the_low_stock_report(golden, monkeypatch):
+    text = plan_text(R.low_inventory(golden, Filters()), "simple")
+    assert text.count("stockquantity#") and "LeftAnti" not in text and "Union" not in text
 
 
 def test_fact_is_shuffled_once_in_category_revenue(golden):
@@ -53,19 +68,20 @@ def test_fact_is_shuffled_once_in_category_revenue(golden):
 
 
 def test_bucketed_facts_save_the_transaction_shuffle(spark, small_tables, tmp_path):
-    """With bucketed facts and no broadcast allowed at all, the transactions side of
-    the fact join is read bucketed and never exchanged; only the items side (which
-    the product join re-partitioned) still is."""
+    """With bucketed facts and no broadcast allowed at all, neither side of the fact join is exchanged,
+    and product joins what is left of the items."""
     from shelfwise.sources.catalog import store_tables
     stored = store_tables(small_tables, str(tmp_path / "tables"), files_per_table=2, fact_buckets=4,
                           table_prefix="plancheck_")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan_text(R.category_revenue(stored, Filters()), "simple")
-        assert "SortMergeJoin [transactionid" in text
-        assert "Bucketed: true" in text
-        assert text.count("Exchange hashpartitioning(transactionid") == 1
+        for report in (R.category_revenue, R.warehouse_category):
+            for f in (Filters(), Filters(category="PROMO", start_date="1996-01-01", end_date="1997-12-31")):
+                text = plan_text(report(stored, f), "simple")
+                assert "SortMergeJoin [transactionid" in text
+                assert "Bucketed: true" in text
+                assert "Exchange hashpartitioning(transactionid" not in text.split("SortMergeJoin [transactionid")[1]
         unbucketed = plan_text(R.category_revenue(small_tables, Filters()), "simple")
         assert unbucketed.count("Exchange hashpartitioning(transactionid") == 2
         # and the result is unchanged by the storage form

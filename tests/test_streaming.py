@@ -1,4 +1,4 @@
-"""Streams: the incremental result equals the batch computation of the same data."""
+"""Streams: several files, several batches, a stop and a resume give the batch result."""
 
 from __future__ import annotations
 
@@ -7,30 +7,58 @@ from pyspark.sql import functions as F
 
 from shelfwise.sources.catalog import load_driver_tables
 from shelfwise.streaming import daily_sales, stock_alerts
+from shelfwise.streaming.sources import event_time
 
 
 def _rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_daily_sales_stream_equals_batch(spark):
-    streamed = daily_sales.stream_daily_sales(spark, SMALL_SF)
+def _arrive(spark, folder, part, of=4):
+    """One more file of events in the folder."""
+    events = spark.read.parquet(f"{SMALL_SF}/events.parquet").where(F.col("event_id") % of == part)
+    events.coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def test_daily_sales_over_arriving_files_equals_batch(spark, tmp_path):
+    folder, place = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(3):
+        _arrive(spark, folder, part)
+    daily_sales.stream_daily_sales(spark, folder, files_per_trigger=1, location=place)
+    _arrive(spark, folder, 3)
+    streamed = daily_sales.stream_daily_sales(spark, folder, files_per_trigger=1, location=place)  # resumes
     batch_events = spark.read.parquet(f"{SMALL_SF}/events.parquet")
-    batch = daily_sales._shape(daily_sales.daily_sales_aggregation(batch_events))
+    batch = daily_sales.shape(daily_sales.daily_sales_aggregation(batch_events, "3650 days"))
+    assert len(list((tmp_path / "out" / "totals").glob("epoch=*"))) >= 4
     assert _rows(streamed.select(*batch.columns)) == _rows(batch)
+
+
+def test_single_file_stream_equals_batch(spark):
+    streamed = daily_sales.stream_daily_sales(spark, SMALL_SF)
+    batch_events = spark.read.parquet(f"{SMALL_SF}/events.parquet")
     assert streamed.agg(F.sum("events")).first()[0] == batch_events.count()
 
 
-def test_stock_alert_feed_update_mode_equals_complete(spark):
+def test_alerts_over_arriving_files(spark, tmp_path):
     tables = load_driver_tables(spark, SMALL_SF)
-    complete = stock_alerts.stream_stock_alerts(spark, SMALL_SF, tables, output_mode="complete")
-    feed = stock_alerts.stream_stock_alerts(spark, SMALL_SF, tables, output_mode="update")
-    assert _rows(feed.select(*complete.columns)) == _rows(complete)
+    folder, place = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(3):
+        _arrive(spark, folder, part)
+    stock_alerts.run_stock_alerts(spark, folder, tables, 1, place)
+    _arrive(spark, folder, 3)
+    current = stock_alerts.stream_stock_alerts(spark, folder, tables, 1, place)
+    sold = stock_alerts.sold_counts(spark.read.parquet(f"{SMALL_SF}/events.parquet"))
+    batch = stock_alerts.alerts(sold, tables.inventory)
+    assert _rows(current.select(*batch.columns)) == _rows(batch)
+    feed = stock_alerts.stock_alert_feed(spark, place)
+    assert feed.count() == feed.select("warehouseid", "productid", "inventory_status").distinct().count() > 0
+    assert feed.select("warehouseid", "productid").distinct().count() == batch.count()
 
 
-def test_stock_alerts_batch_equals_stream(spark):
-    tables = load_driver_tables(spark, SMALL_SF)
-    streamed = stock_alerts.stream_stock_alerts(spark, SMALL_SF, tables)
-    batch = stock_alerts.alerts(stock_alerts.sold_counts(spark.read.parquet(f"{SMALL_SF}/events.parquet")),
-                                tables.inventory)
-    assert _rows(streamed.select(*batch.columns)) == _rows(batch)
+def test_no_batch_yet_is_an_empty_table(spark, tmp_path):
+    assert stock_alerts.stock_alert_feed(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_event_time_keeps_fractions(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 10:20:30.123456' AS ts")
+    assert df.select(F.unix_micros(event_time(F.col("ts"))) % 1_000_000).first()[0] == 123456

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfwise.functions import expressions as X
 from shelfwise.functions.expressions import escape_like
 from shelfwise.functions.filters import Filters
+from shelfwise.operators import kpis, series
 from shelfwise.operators.lookups import check_read_only, ping
 from shelfwise.operators.rules import order_for
 from shelfwise.operators.series import pick_auto_columns
+from shelfwise.session import checkpoint_dir
+from shelfwise.sources.catalog import normal_json
 
 
 def test_filters_reject_reversed_range():
@@ -43,14 +49,18 @@ def test_search_takes_text_literally(golden):
     assert search_products(golden, "%").count() == 0
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE x", "select 1; select 2", "insert into t values (1)"])
-def test_free_sql_guard_rejects(sql):
+@pytest.mark.parametrize("sql", ["DROP TABLE x", "select 1; select 2", "insert into t values (1)", "SET x = 1", "not sql",
+                                 "WITH t AS (SELECT 1 a) INSERT INTO x SELECT * FROM t", "CREATE TABLE y AS SELECT 1",
+                                 "FROM x INSERT INTO y SELECT *", "CACHE TABLE z AS SELECT 1"])
+def test_free_sql_guard_rejects(spark, sql):
     with pytest.raises(ValueError):
-        check_read_only(sql)
+        check_read_only(spark, sql)
 
 
-def test_free_sql_guard_accepts():
-    assert check_read_only("  with a as (select 1) select * from a ;") == "with a as (select 1) select * from a"
+@pytest.mark.parametrize("sql", ["  with a as (select 1) select * from a ;", "SELECT ';' AS x", "-- comment\nSELECT 1",
+                                 "(SELECT 1) UNION (SELECT 2)", "SELECT 'drop table x'"])
+def test_free_sql_guard_accepts(spark, sql):
+    assert check_read_only(spark, sql) == sql
 
 
 def test_ping(spark):
@@ -60,6 +70,53 @@ def test_ping(spark):
 def test_order_words():
     assert order_for("Which warehouses are underperforming?") == "worst"
     assert order_for("Which categories generate the most revenue?") == "best"
+    assert order_for("What is below reorder level?") == "best" and order_for("best yellow items") == "best"
+    assert order_for("LOW sellers?") == "worst"
+
+
+def test_money_is_exact_until_the_edge(spark):
+    df = spark.createDataFrame([(9007199254740993,)], "c long")
+    assert str(df.select(X.money(F.col("c"), exact=True)).first()[0]) == "90071992547409.93"
+    assert df.select(X.money(F.col("c"))).first()[0] == 90071992547409.93
+
+
+def test_figures_of_any_number(spark):
+    df = spark.createDataFrame([("a", 0.004), ("a", 0.004), ("b", 0.016)], "name string, y double")
+    assert {r.name: r.y for r in series.auto_series(df).collect()} == {"a": 0.008, "b": 0.016}
+    assert kpis.show_metrics(df, "y").first().total == pytest.approx(0.024, abs=1e-12)
+    odd = spark.createDataFrame([("a", float("nan")), ("b", 1e300)], "name string, y double")
+    assert kpis.show_metrics(odd, "y").first().row_count == 2
+    dec = spark.createDataFrame([("a", Decimal("0.125")), ("b", Decimal("90071992547409.930"))], "name string, y decimal(30,3)")
+    assert pick_auto_columns(dec) == ("name", "y")
+    assert kpis.show_metrics(dec, "y").first().total == 90071992547410.055
+
+
+def test_share_of_nothing_is_null(spark):
+    df = spark.createDataFrame([("a", Decimal("0.00"))], "category_name string, total_revenue decimal(23,2)")
+    assert series.revenue_share(df).first().share is None
+
+
+def test_json_is_one_key_whatever_its_spelling(spark):
+    df = spark.createDataFrame([('{"b": 1, "a": "x"}',), ('{"a":"x","b":1}',), ("no json",), (None,)], "j string")
+    assert [r[0] for r in df.select(normal_json(F.col("j"))).collect()] == ['{"a":"x","b":1}', '{"a":"x","b":1}', "no json", None]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
 
 
 def test_auto_columns(spark):
