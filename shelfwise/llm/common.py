@@ -109,7 +109,7 @@ class SpanHasher:
         n = len(data)
         cls = SpanHasher
         if len(cls._powers) < n + 1:
-            size = 1 << int(n + 1).bit_length()
+            size = (n >> 16 << 16) + (1 << 17)
             cls._powers = np.concatenate([np.ones(1, np.uint64), np.full(size, _POLY)]).cumprod(dtype=np.uint64)
             cls._inverses = np.concatenate([np.ones(1, np.uint64), np.full(size, cls._inverse)]).cumprod(dtype=np.uint64)
         self._sums = np.zeros(n + 1, np.uint64)

@@ -48,7 +48,7 @@ WORDS, PERCENT = 5, 75
 #: Longest list of a token whose holders are all compared.
 RARE = 32
 #: Postings that one task gathers before it sends them, and that one bucket is planned to hold.
-FLUSH, BUCKET = 1_000_000, 600_000
+FLUSH, BUCKET = 600_000, 600_000
 _ORDER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -413,7 +413,7 @@ def _across(table: pa.Table) -> pa.Table:
             lists.append((number[lo:hi][minor], number[lo:hi]))
     rows = np.unique(np.concatenate([m for m, _ in lists])) if lists else np.zeros(0, np.int64)
     a, b = [], []
-    block = max(1, (1 << 25) // max(1, len(name)))
+    block = max(1, (1 << 21) // max(1, len(name)))
     for lo in range(0, len(rows), block):
         here = rows[lo:lo + block]
         asked = np.zeros((len(here), len(name)), bool)
@@ -421,11 +421,11 @@ def _across(table: pa.Table) -> pa.Table:
             mine = minor[(minor >= here[0]) & (minor <= here[-1])]
             if len(mine):
                 asked[np.searchsorted(here, mine)[:, None], everyone] = True
+        asked &= of_name[here][:, None] != of_name
+        asked &= _by_frequent(size[here][:, None], size, frequent[here][:, None], frequent)
         i, j = np.nonzero(asked)
-        x = here[i]
-        ok = (of_name[x] != of_name[j]) & _by_frequent(size[x], size[j], frequent[x], frequent[j])
-        a.append(name[x[ok]])
-        b.append(name[j[ok]])
+        a.append(name[here[i]])
+        b.append(name[j])
     return _distinct(np.concatenate(a), np.concatenate(b)) if a else _distinct(rows, rows)
 
 
