@@ -11,8 +11,7 @@ language's threshold lies at ``DECISION``.
 The model (about 2 MB, fixed by its parameters) is the only thing that travels to the
 executors. Scoring is one pass over the texts without a shuffle.
 
-Defined cases: a NULL or empty text, or one without words, gets the score of a text whose
-filters see only padding. Repeated rows get equal scores. Only id and text are read; labels
+Defined cases: a NULL or empty text, or one without words, has score 0. Repeated rows get equal scores. Only id and text are read; labels
 whose ``toxic`` is NULL are not learned from; without any usable label of both kinds every
 score is 0. An empty table gives an empty result.
 """
@@ -138,7 +137,7 @@ class Model:
         general = self.thresholds.get(-1, 0.0)
         limit = np.array([self.thresholds.get(k, general) for k in range(len(LANGS))])
         z = self.logits(words).astype(np.float64) - limit[words.lang] + np.log(DECISION / (1 - DECISION))
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+        return np.where(np.diff(words.first) > 0, 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))), 0.0)
 
 
 def _pad(words: Words, pad: int) -> tuple[np.ndarray, np.ndarray]:
