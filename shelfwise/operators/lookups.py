@@ -50,12 +50,13 @@ def inspect_table(t: RetailTables, name: str, rows: int = VIEWER_ROWS) -> DataFr
     """``SELECT * FROM name LIMIT 100`` on one of the nine tables.
 
     The original has no ORDER BY, so any 100 rows would do; ordering by the table
-    key makes the answer repeatable.  The sort is a distributed top-k (each task
+    key, then the other columns, makes the answer repeatable.  The sort is a distributed top-k (each task
     keeps its first 100 rows), not a full sort.
     """
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}; choose one of {', '.join(TABLE_NAMES)}")
-    return t.table(name).orderBy(*KEYS[name]).limit(rows)
+    df = t.table(name)
+    return df.orderBy(*KEYS[name], *[c for c in df.columns if c not in KEYS[name]]).limit(rows)
 
 
 # Parsed statements that are not plain queries: commands, inserts and the like, scripts.
