@@ -19,10 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, as count and checksum, and the decoded text, as digest and comparison."""
     docs = read_table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", "text", spm_lattice.encode_column()(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "text", "ids", spm_lattice.decode_column()(F.col("ids")).alias("decoded"))
-    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
-                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    both = docs.select("doc_id", "text", spm_lattice.code_column()(F.col("text")).alias("c"))
+    return both.select("doc_id", (F.length("c.ids") / 4).cast("long").alias("n_pieces"), F.crc32("c.ids").alias("ids_crc32"),
+                       F.sha2(F.encode("c.decoded", "UTF-8"), 256).alias("decoded_sha256"),
+                       (F.col("c.decoded") == F.col("text")).alias("round_trip"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

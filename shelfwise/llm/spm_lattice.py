@@ -33,7 +33,7 @@ from shelfwise.llm.common import text_chunks
 MODEL_FILE = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text of one batch, characters of one index, units that the cache keeps.
-CHUNK, INDEX_CHARS, CACHE_UNITS = 4 << 20, 400_000, 250_000
+CHUNK, INDEX_CHARS, CACHE_UNITS = 2 << 20, 150_000, 150_000
 _RAW_BYTES = re.compile("[\udc00-\udcff]+")
 _NEVER = np.int64(1) << 40
 
@@ -90,9 +90,7 @@ class Vocabulary:
         for k, i in enumerate(usable):
             self.codes[k, :self.size[k]] = [ord(c) for c in self.pieces[i]]
         self.longest = int(self.size.max())
-        inner = any(SPACE in self.pieces[i].lstrip(SPACE) for i in plain)
-        # Without a piece that holds a space mark behind another character, units end before a space mark.
-        self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not inner else re.compile(r".+", re.S)
+        self.unit = self._units([self.pieces[i] for i in usable])
         self.decoded = [p.replace(SPACE, " ") for p in self.pieces]
         for byte, i in self.byte_ids.items():
             self.decoded[i] = chr(0xDC00 + byte)  # a lone surrogate stands for a raw byte until the end
@@ -100,6 +98,18 @@ class Vocabulary:
             if sp.is_control(i):
                 self.decoded[i] = ""
 
+    @staticmethod
+    def _units(pieces: list[str]) -> re.Pattern:
+        """Units end where no piece can go on: before a space mark, and between letters and other characters."""
+        numbers = "".join(sorted({c for p in pieces for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+        letters, others = f"[^\\W\\d_{numbers}]+", f"(?:(?!{SPACE})[\\W\\d_{numbers}])+"
+        kinds = f"{SPACE}*(?:{letters}|{others})|{SPACE}+"
+        if all(re.fullmatch(kinds, p) for p in pieces):
+            return re.compile(kinds)
+        if all(SPACE not in p.lstrip(SPACE) for p in pieces):
+            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        return re.compile(".+", re.S)
+
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces ``a`` and ``b`` stay apart when their characters are merged together."""
         good = np.ones(len(a), bool)
@@ -272,6 +282,26 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def code_column(path: str | None = None):
+    """A column function ``text -> struct(ids, decoded)``: both directions in one pass over the texts."""
+    path = path or default_model_path()
+
+    @F.arrow_udf("ids binary, decoded string")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(path)
+        for column in batches:
+            ids: list[bytes | None] = []
+            texts: list[str | None] = []
+            for first, last, _, _ in text_chunks(column, CHUNK):
+                part = column.slice(first, last - first).to_pylist()
+                for text, found in zip(part, enc.ids([t or "" for t in part])):
+                    ids.append(None if text is None else found)
+                    texts.append(None if text is None else enc.text(found))
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["ids", "decoded"])
+
+    return code
+
+
 def encode_column(path: str | None = None):
     """A column function ``text -> ids`` (binary, little-endian unsigned 32-bit)."""
     path = path or default_model_path()

@@ -52,4 +52,7 @@ def test_columns(make_docs):
     df = make_docs(rows).select("doc_id", "text", sl.encode_column()(F.col("text")).alias("ids"))
     got = df.select("doc_id", "text", "ids", sl.decode_column()(F.col("ids")).alias("back")).collect()
     assert all(r.back == r.text for r in got) and [r.ids for r in got if r.doc_id == 1] == [None]
+    both = make_docs(rows).select("text", sl.code_column()(F.col("text")).alias("c")).select("text", "c.ids", "c.decoded").collect()
+    assert sorted([(r.text, r.ids) for r in both], key=str) == sorted([(r.text, r.ids) for r in got], key=str)
+    assert all(r.decoded == r.text for r in both)
     assert make_docs([]).select(sl.encode_column()(F.col("text"))).count() == 0
