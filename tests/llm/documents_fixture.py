@@ -1,3 +1,5 @@
+"""The ``make_docs`` fixture; test modules import it."""
+
 from __future__ import annotations
 
 import pytest

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import fingerprints as fp
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import jaccard_join as jj
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

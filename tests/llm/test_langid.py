@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import langid
 
 SYLLABLES = {"en": ["th", "ing", "er", "and", "ou"], "de": ["sch", "ung", "ein", "ver", "ä"], "fr": ["eau", "que", "é", "ment", "oi"],

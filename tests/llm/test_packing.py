@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import packing
 
 

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as cp
 from conftest import SMALL_SF
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import langid, toxicity as tox
 from shelfwise.llm.common import read_table
 

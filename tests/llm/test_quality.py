@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import quality as q
 
 

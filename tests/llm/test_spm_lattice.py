@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import spm_lattice as sl
 
 ODD = ["", "  two  spaces   x", " lead", "trail ", "<s> </s> <unk> <0x41>", "日本語 テキスト 梦", "emoji 😀 x\x00y", "tab\tnew\nline\r\n",

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from documents_fixture import make_docs  # noqa: F401
 from shelfwise.llm import toxicity as tox
 from shelfwise.llm.common import text_chunks
 
