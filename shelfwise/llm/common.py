@@ -57,6 +57,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample_by_hash(rows: DataFrame, key: str, bound: int, n: int) -> DataFrame:
+    """At most ``bound`` of ``n`` rows, those of the smallest hashes of ``key``; a threshold on the hash leaves about
+    half as many again to be sorted, however many rows and tasks there are."""
+    share = min(1.0, 1.5 * bound / max(1, n) + 1e-6)
+    near = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(bound)
+
+
 def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column as ``(first row, end row, offsets, UTF-8 bytes)``.
 

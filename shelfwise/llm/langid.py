@@ -195,11 +195,19 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from rows of known language that are not held out: a bounded sample, by hash of the id."""
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")) \
-        .where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROWS_PER_LANGUAGE)
-    sample = ranked.orderBy("r", "lang").limit(ROWS_TOTAL).select("id", F.col("lang").alias("y"))
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("y")) \
+        .where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
+        return None
+    bound = min(ROWS_PER_LANGUAGE, max(1, ROWS_TOTAL // len(counts)))
+    # A threshold on the hash per language leaves about half as many again as are wanted, however many rows there are.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    limit = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items())
+                           for v in (lang, int(min(1.0, 1.5 * bound / n + 1e-6) * (1 << 30)) + 1)])
+    order = Window.partitionBy("y").orderBy(place, "id")
+    sample = known.where(place < limit[F.col("y")]).withColumn("r", F.row_number().over(order)) \
+        .where(F.col("r") <= bound).select("id", "y")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

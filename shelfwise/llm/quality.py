@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SpanHasher, fold_case, materialize, runs, ship, text_chunks
+from shelfwise.llm.common import SpanHasher, fold_case, materialize, runs, sample_by_hash, ship, text_chunks
 from shelfwise.llm.toxicity import FUNCTION_WORDS, _word_hashes
 
 LABELLERS = ("signs", "capitals", "repeats", "function words", "variety", "word length", "lone signs", "sign runs")
@@ -204,8 +204,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     if len(counts) == 0:
         return None
     labels = LabelModel(counts["code"].to_numpy(), counts["n"].to_numpy())
-    sample = seen.where(F.col("doc_id").isNotNull()).select("doc_id", "code").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "code").limit(TRAIN_ROWS)
+    sample = sample_by_hash(seen.where(F.col("doc_id").isNotNull()).select("doc_id", "code"), "doc_id", TRAIN_ROWS, int(counts["n"].sum()))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SpanHasher, fold_case, mix64, runs, text_chunks
+from shelfwise.llm.common import SpanHasher, fold_case, mix64, runs, sample_by_hash, text_chunks
 
 DECISION = 0.7
 #: Bounds of the labelled sample: rows of each label, and characters of a text that may be learned from.
@@ -241,11 +241,14 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, langs: np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Learn from the labelled rows that are not held out; None when a label is missing altogether."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))) \
+        .select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return None
     sample = None
     for toxic, bound in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        part = labels.where((F.col("toxic") == toxic) & ~held_out(F.col(id_col))) \
-            .select(F.col(id_col).cast("long").alias("id"), F.lit(toxic).alias("y")).distinct() \
-            .orderBy(F.xxhash64("id"), "id").limit(bound)
+        part = sample_by_hash(usable.where(F.col("y") == toxic), "id", bound, counts[toxic])
         sample = part if sample is None else sample.unionAll(part)
     # At most TRAIN_TOXIC + TRAIN_CLEAN rows of two numbers: the join needs no shuffle of texts.
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
