@@ -4,6 +4,7 @@ vectorised hashing, and connected components.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -65,7 +66,7 @@ def sample_by_hash(rows: DataFrame, key: str, bound: int, n: int) -> DataFrame:
     return near.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(bound)
 
 
-def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column as ``(first row, end row, offsets, UTF-8 bytes)``.
 
     Rows are never cut; a chunk holds at least one row. NULL reads as the empty text.
@@ -84,9 +85,23 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
     start = 0
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + max_bytes, side="right")) - 1
-        end = min(n, max(end, start + 1))
+        end = min(n, start + max_rows, max(end, start + 1))
         yield start, end, offsets[start:end + 1] - offsets[start], data[offsets[start]:offsets[end]]
         start = end
+    give_back()
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

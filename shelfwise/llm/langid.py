@@ -34,7 +34,8 @@ ROWS_PER_LANGUAGE, ROWS_TOTAL = 800, 6000
 SIZES = (256, 2048, 4096, 4096)
 FEATURES = sum(SIZES)
 EPOCHS, REGULARISER = 12, 1e-4
-CHUNK = 1 << 19
+#: Bytes and rows of text that one matrix of features is made of.
+CHUNK, CHUNK_ROWS = 1 << 19, 200
 UNDETERMINED = "und"
 
 # Language codes by family. A code that is not listed is a family of its own.
@@ -212,7 +213,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, value = [], []
-            for first, last, offsets, data in text_chunks(batch.column(2), CHUNK):
+            for first, last, offsets, data in text_chunks(batch.column(2), CHUNK, CHUNK_ROWS):
                 for row in features(offsets, data):
                     used = np.flatnonzero(row)
                     at.append(used.astype("<u2").tobytes())
@@ -237,7 +238,7 @@ def predict_column(model: Model | None):
         for column in batches:
             langs, scores = np.full(len(column), UNDETERMINED, object), np.zeros(len(column))
             if model is not None:
-                for first, last, offsets, data in text_chunks(column, CHUNK):
+                for first, last, offsets, data in text_chunks(column, CHUNK, CHUNK_ROWS):
                     with_letter = has_letter(offsets, data)
                     lang, sure = model.predict(features(offsets, data))
                     langs[first:last] = np.where(with_letter, lang, UNDETERMINED)

@@ -44,7 +44,7 @@ LONG_BONUS = 0.02
 #: A configuration used less often than this is not worth rounding; its pieces join the rest.
 MIN_USE = 4
 #: Entries a worker's word cache keeps before the older half goes.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 80_000
 #: Signs that may stand behind a word; a run of them is one unit of its own. The apostrophe
 #: and the characters of special tokens are left out.
 SIGNS = ".,;:!?\"#$%&()*+-/=@[\\]^_`{}~"
@@ -226,7 +226,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             doc_ids = batch.column(0).to_pylist()
-            for first, last, _, _ in text_chunks(batch.column(1), 3 << 20):
+            for first, last, _, _ in text_chunks(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
                 for doc_id, ids in zip(doc_ids[first:last], enc.ids(texts)):
                     ids += tail

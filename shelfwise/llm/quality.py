@@ -30,7 +30,7 @@ LABELLERS = ("signs", "capitals", "repeats", "function words", "variety", "word
 TRAIN_ROWS, FEATURES, EPOCHS, RATE = 4000, 4096, 15, 0.5
 EM_ROUNDS, EM_CLOSE = 200, 1e-9
 KEEP = 0.5
-CHUNK = 1 << 19
+CHUNK, CHUNK_ROWS = 1 << 19, 500
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[ord(c) for c in "#$%&*!|<>{}[]\\^~=+_@"]] = True
 
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype("<f4").tobytes() for _, _, offsets, data in text_chunks(batch.column(2), CHUNK) for r in features(offsets, data)]
+            rows = [r.astype("<f4").tobytes() for _, _, offsets, data in text_chunks(batch.column(2), CHUNK, CHUNK_ROWS) for r in features(offsets, data)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "code", "x"])
 
     # At most TRAIN_ROWS rows of two numbers: the join needs no shuffle of texts.
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, offsets, data in text_chunks(batch.column(1), CHUNK):
+            for first, last, offsets, data in text_chunks(batch.column(1), CHUNK, CHUNK_ROWS):
                 m = measures(offsets, data)
                 v = votes(m)
                 value = 1 / (1 + np.exp(-np.clip(features(offsets, data, m) @ model.weights, -50, 50)))
