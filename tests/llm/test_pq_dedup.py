@@ -73,3 +73,52 @@ def test_estimates_never_miss_within_the_error():
     for number in range(len(q.centroids)):
         m = lists == number
         assert (q.estimate(x, number, codes[m]) + error[m] >= x @ x[m].T - 1e-4).all()
+
+
+def _reference(x, threshold=0.9):
+    """Links of every vector and the smallest number it is connected to, by all products."""
+    n, root = np.zeros(len(x), np.int64), np.arange(len(x))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for at in range(0, len(x), 500):
+        close = x[at:at + 500] @ x.T >= threshold
+        close[np.arange(len(close)), at + np.arange(len(close))] = False
+        n[at:at + 500] = close.sum(1)
+        for i, j in zip(*np.nonzero(close)):
+            a, b = find(at + i), find(j)
+            root[max(a, b)] = min(a, b)
+    return n, [find(k) for k in range(len(x))]
+
+
+def test_no_link_is_lost_between_many_lists_of_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    x = rng.standard_normal((3000, 64))
+    x[::3] = base + 0.31 * rng.standard_normal((1000, 64))  # a third in one group of distinct near copies, some links just under 0.9
+    x[1::30] = x[2::30] + 0.3 * rng.standard_normal((100, 64))
+    x = x.astype(np.float32)
+    monkeypatch.setattr(pq, "LIST_SIZE", 30)  # 100 lists, a third of them inside the group
+    monkeypatch.setattr(pq, "MEMBER_BLOCK", 700)
+    monkeypatch.setattr(pq, "QUERY_BLOCK", 900)
+    got = pq.near_duplicates(vectors(spark, list(enumerate(x.tolist())))).orderBy("vec_id").collect()
+    n, root = _reference(pq.unit(x))
+    assert 0 < sum(n[::3]) < 999_000
+    assert [(r.n_links, r.component_id) for r in got] == list(zip(n.tolist(), root))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_every_pair_over_the_threshold_is_probed_from_a_side(threshold):
+    rng = np.random.default_rng(6)
+    x = pq.unit(np.concatenate([rng.standard_normal((600, 24)), rng.standard_normal(24) + 0.3 * rng.standard_normal((400, 24))]))
+    q = pq.Quantiser(x, 60, 7, threshold)
+    home = q.probes(x)[:, 0]
+    met = q.probed(x, home, np.arange(len(q.centroids)))[:, home]
+    linked = x @ x.T >= threshold
+    assert (linked <= (met | met.T)).all()
+    apart = home[:, None] != home
+    assert not (met & met.T & apart).any() and not met.all()
