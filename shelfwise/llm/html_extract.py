@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block from the density of
 stop words, its length and its link density, and from where it stands (inside a menu, footer,
-form and the like nothing is main text). Short blocks without links stay undecided. The second
-pass gives them the label of their nearest decided neighbours.
+form and the like nothing is main text). Stop words are listed for four languages; where they cannot tell,
+on a page in none of them and in blocks of another script, length and links decide. A container whose class
+or id marks boilerplate does not hide an article inside it, unless another article has fewer such containers
+around it. Short blocks without links stay undecided. The second pass gives them the label of their nearest
+decided neighbours.
 
 One pass over the pages; nothing is shuffled, and a page is the most that a step holds.
 
@@ -33,6 +36,8 @@ SHORT = 70
 LONG = 200
 #: Shares of link characters and of stop words.
 MOST_LINKS, FEW_STOPS, MANY_STOPS = 0.35, 0.10, 0.18
+#: Inside an article only blocks that are nearly all links, and no prose, are dropped for their links.
+ARTICLE_LINKS = 0.90
 
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -58,7 +63,10 @@ _TOKEN = re.compile(
     re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 _NAME = re.compile(r"[a-z]+")
+#: A name of this form tells what a container has beside it, not what it is.
+_LAYOUT = frozenset("has no with without".split())
 STOP_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 
 
@@ -69,21 +77,23 @@ class Block:
     banned: bool
     article: int  # number of the article the block is in, 0 if none
     heading: bool
+    marks: int = 0  # containers around it whose class or id marks boilerplate
     label: int = OPEN
 
 
 @dataclass
 class _State:
-    stack: list[tuple[str, bool, int]] = field(default_factory=list)  # open elements: name, banned, article
+    stack: list[tuple[str, bool, int, int]] = field(default_factory=list)  # open elements: name, banned, article, marks
     blocks: list[Block] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     link: list[str] = field(default_factory=list)
     in_link: int = 0
     articles: int = 0
+    article_marks: dict[int, int] = field(default_factory=dict)  # marks around each outermost article
     heading: bool = False
 
 
-def _hidden_or_marked(name: str, attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -92,8 +102,17 @@ def _hidden_or_marked(name: str, attributes: str) -> bool:
             return True
         if key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"):
             return True
-        if key in ("class", "id") and name not in ("html", "body") and name not in ARTICLE and not MARKED.isdisjoint(_NAME.findall(value)):
-            return True
+    return False
+
+
+def _marked(name: str, attributes: str) -> bool:
+    if name in ("html", "body") or name in ARTICLE:
+        return False
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            for parts in map(_NAME.findall, value.strip("\"'").lower().split()):
+                if parts and parts[0] not in _LAYOUT and not MARKED.isdisjoint(parts):
+                    return True
     return False
 
 
@@ -106,8 +125,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(s.text).split())
             if text:
                 link = len(" ".join("".join(s.link).split()))
-                banned, article = (s.stack[-1][1], s.stack[-1][2]) if s.stack else (False, 0)
-                s.blocks.append(Block(text, link, banned, article, s.heading))
+                banned, article, marks = s.stack[-1][1:] if s.stack else (False, 0, 0)
+                s.blocks.append(Block(text, link, banned, article, s.heading, marks))
             s.text.clear()
             s.link.clear()
 
@@ -165,33 +184,51 @@ def blocks(page: str) -> list[Block]:
                 s.stack.pop()
             if name in VOID:
                 continue
-            banned, article = (s.stack[-1][1], s.stack[-1][2]) if s.stack else (False, 0)
+            banned, article, marks = s.stack[-1][1:] if s.stack else (False, 0, 0)
             if name in ARTICLE:
                 s.articles += 1
                 article = article or s.articles
+                s.article_marks.setdefault(article, marks)
             if name == "header" and article:
                 pass  # an article's own head
             elif name in BOILERPLATE:
                 banned = True
-            banned = banned or (bool(attributes) and _hidden_or_marked(name, attributes))
-            s.stack.append((name, banned, article))
+            banned = banned or (bool(attributes) and _hidden(attributes))
+            marks += bool(attributes) and _marked(name, attributes)
+            s.stack.append((name, banned, article, marks))
         elif name not in VOID:
             add("")
     end_block()
+    # of the articles with text those with the fewest marks around them are the page's own
+    around = [s.article_marks[b.article] for b in s.blocks if b.article and not b.banned and b.marks == s.article_marks[b.article]]
+    least = min(around, default=0)
+    for b in s.blocks:
+        b.banned = b.banned or b.marks > (least if b.article and s.article_marks[b.article] == least else 0)
     return s.blocks
 
 
 def classify(page: list[Block]) -> None:
     """Set every block's label to ``GOOD`` or ``BAD``."""
-    for b in page:  # first pass: each block for itself
+    counts = []
+    for b in page:
         words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.banned or b.link_chars > MOST_LINKS * len(b.text):
+        counts.append((sum(w in STOP_WORDS for w in words), len(words), b.text.isascii() or 2 * len(_LATIN.findall(b.text)) >= sum(map(len, words))))
+    prose = [c for b, c in zip(page, counts) if not b.banned and b.link_chars <= MOST_LINKS * len(b.text) and len(b.text) >= SHORT]
+    listed = sum(c[0] for c in prose) >= FEW_STOPS * sum(c[1] for c in prose)  # the page is in a language with listed stop words
+    for b, (found, n, latin) in zip(page, counts):  # first pass: each block for itself
+        stops = found / max(1, n)
+        if b.banned:
+            b.label = BAD
+        elif b.article and b.link_chars > ARTICLE_LINKS * len(b.text) and (len(b.text) < SHORT or stops < FEW_STOPS):
+            b.label = BAD
+        elif not b.article and b.link_chars > MOST_LINKS * len(b.text):
             b.label = BAD
         elif len(b.text) < SHORT:
             b.label = BAD if b.link_chars and not b.article else OPEN
         elif stops >= MANY_STOPS or (b.article and stops >= FEW_STOPS):
             b.label = GOOD
+        elif not (listed and latin):
+            b.label = GOOD if len(b.text) >= LONG or not b.link_chars else OPEN
         elif len(b.text) >= LONG and stops < FEW_STOPS and not b.article:
             b.label = BAD
     # second pass: undecided blocks look to both sides, inside an article no further than its ends

@@ -41,3 +41,40 @@ def test_operator(spark):
     got = sorted([tuple(r) for r in extract(spark.createDataFrame(rows, schema)).collect()], key=str)
     assert got == sorted([(1, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG)), (2, None, "", 0), (None, "u", "", 0)], key=str)
     assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
+RUSSIAN = "Широкая река течёт через старый город, и утром жители приходят сюда за водой, как приходили их деды. " * 3
+POLISH = "Szeroka rzeka płynie przez stare miasto, rankiem mieszkańcy przychodzą tutaj po wodę, jak dawniej ich dziadkowie. " * 3
+CHINESE = "宽阔的河流穿过古老的城市，每天清晨居民们来到这里取水，就像他们的祖辈一样。" * 8
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, POLISH, CHINESE])
+def test_languages_without_listed_stop_words(text):
+    text = text.strip()
+    page = f"<nav><a href=a>A</a></nav><div><p>{text}</p><p>{text}</p></div><ul><li><a href=b>{text}</a></ul><footer>{text}</footer>"
+    assert main_text(page) == f"{text}\n{text}"
+
+
+def test_long_block_of_another_script_on_a_page_with_listed_stop_words():
+    assert main_text(f"<p>{LONG}</p><p>{RUSSIAN}</p><p>{LONG}</p>") == f"{LONG}\n{RUSSIAN.strip()}\n{LONG}"
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "layout no-sidebar", "page with-menu"])
+def test_names_of_layouts_mark_nothing(wrapper):
+    assert main_text(f"<div class='{wrapper}'><p>{LONG}</p></div>") == LONG
+
+
+@pytest.mark.parametrize("wrapper", ["content sidebar", "search", "social page"])
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_marked_wrapper_does_not_hide_an_article(wrapper, name):
+    inside = f"<{name}><p>{LONG}</p><div class=ad>{LONG}</div></{name}>"
+    assert main_text(f"<div class='{wrapper}'><p>{LONG}</p>{inside}<div class=comments><article>{LONG}</article></div></div>") == LONG
+    assert main_text(f"<div hidden><{name}>{LONG}</{name}></div>") == ""
+    # beside an article without marks it is a teaser or a comment
+    assert main_text(f"<{name}>{LONG} End.</{name}><div class='{wrapper}'><article>{LONG}</article></div>") == f"{LONG} End."
+
+
+def test_paragraphs_with_many_links_inside_an_article():
+    half, whole = f"{LONG[:50]}<a href=x>{LONG[50:]}</a>", f"<a href=x>{LONG}</a>"
+    assert main_text(f"<article><p>{LONG}</p><p>{half}</p><p>{whole}</p><ul><li><a href=y>Next</a></ul></article>") == f"{LONG}\n{LONG}\n{LONG}"
+    assert main_text(f"<div><p>{LONG}</p><p>{half}</p></div>") == LONG
