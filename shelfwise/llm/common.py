@@ -58,6 +58,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def sample_by_hash(rows: DataFrame, key: str, bound: int, n: int) -> DataFrame:
     """At most ``bound`` of ``n`` rows, those of the smallest hashes of ``key``; a threshold on the hash leaves about
     half as many again to be sorted, however many rows and tasks there are."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import fingerprints, html_extract, jaccard_join, langid, packing, pq_dedup, quality, spm_lattice, toxicity, warc
+from shelfwise.llm import (conversation_trie, fingerprints, html_extract, jaccard_join, langid, lexical_search, line_dedup, packing, pq_dedup,
+                           quality, spm_lattice, toxicity, warc)
 from shelfwise.llm.common import read_table
 
 
@@ -59,6 +60,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(read_table(spark, sf_dir, "conversations")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -83,4 +100,61 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
         FROM d LEFT JOIN f ON d.payload_bytes >= 100 AND f.payload_digest = d.payload_digest
     """,
+    "op11_conversation_prefix_trie": """
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                             md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             -- CRC-32 of the decimal id, bit by bit
+             i AS (SELECT conv_id, conv_id - conv_id % 5 AS source, xor(list_reduce(flatten([[4294967295]] || list_transform(
+                              string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                          lambda s, e: xor(xor(s, e) >> 1, 3988292384 * (xor(s, e) & 1))), 4294967295) % 9 AS h
+                   FROM (SELECT DISTINCT conv_id FROM t)),
+             b AS (SELECT i.conv_id, pos, role, text FROM i JOIN t ON t.conv_id = i.source AND pos <= h
+                   UNION ALL SELECT i.conv_id, pos, role, text FROM i JOIN t ON t.conv_id = i.conv_id AND pos > h),
+             l AS (SELECT i.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS turns
+                   FROM i LEFT JOIN b ON b.conv_id = i.conv_id GROUP BY i.conv_id),
+             p AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM l),
+             n AS (SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                          any_value(CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].text)) ELSE 0 END) AS bytes,
+                          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+                   FROM p GROUP BY prefix, depth),
+             c AS (SELECT n.*, up.conv_id AS parent_conv_id FROM n LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.prefix = n.prefix[1:n.depth - 1]),
+             k AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+             f AS (SELECT c.*, coalesce(n_children, 0) AS n_children FROM c LEFT JOIN k USING (prefix, depth)),
+             s AS (SELECT a.prefix, count(*) FILTER (WHERE d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.bytes) AS saved
+                   FROM f AS d, LATERAL (SELECT d.prefix[1:x] AS prefix FROM (SELECT unnest(range(d.depth + 1)) AS x)) AS a GROUP BY a.prefix)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+        FROM f JOIN s USING (prefix)
+    """,
+    "op12_line_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+             l AS (SELECT r, doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM d),
+             k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+             s AS (SELECT key AS repeated, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key
+                   HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+             m AS (SELECT r, doc_id, pos, line, repeated IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone
+                   FROM k LEFT JOIN s ON key = repeated)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r, doc_id
+    """,
+    "op13_ranked_lexical_search": """
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+             d AS (SELECT r, doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+             c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+             p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+             w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+                   FROM p, c GROUP BY term),
+             q AS (SELECT DISTINCT b, item_id, unnest(terms) AS term FROM (
+                       SELECT row_number() OVER () AS b, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM benchmark)),
+             s AS (SELECT b, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+                   FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (r), c GROUP BY b, item_id, r, doc_id),
+             o AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+                   FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+    """,
 }

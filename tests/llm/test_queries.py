@@ -8,7 +8,7 @@ from shelfwise.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", list(ORACLE_SQL))
