@@ -42,7 +42,7 @@ class Filters:
             if getattr(self, name) is None:
                 raise ValueError(f"{name} must be a name or {ALL!r}, not None")
         if self.start_date and self.end_date and self.start_date > self.end_date:
-            raise ValueError("Start date must be before end date.")
+            raise ValueError(f"the range ends on {self.end_date}, before it starts on {self.start_date}")
 
     # -- which filters are on -------------------------------------------------
     @property

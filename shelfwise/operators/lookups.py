@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.filters import ALL
+from shelfwise.operators import free_sql
 from shelfwise.sources.catalog import RetailTables
 from shelfwise.sources.schema import KEYS, TABLE_NAMES
 
@@ -59,36 +60,9 @@ def inspect_table(t: RetailTables, name: str, rows: int = VIEWER_ROWS) -> DataFr
     return df.orderBy(*KEYS[name], *[c for c in df.columns if c not in KEYS[name]]).limit(rows)
 
 
-# Parsed statements that are not plain queries: commands, inserts and the like, scripts.
-_NOT_QUERIES = ("org.apache.spark.sql.catalyst.plans.logical.Command",
-                "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement",
-                "org.apache.spark.sql.catalyst.plans.logical.CompoundPlanStatement")
-
-
-def check_read_only(spark: SparkSession, sql: str) -> str:
-    """Accept one query; refuse anything else, decided on Spark's parsed plan before anything runs."""
-    from py4j.java_gateway import is_instance_of
-    from pyspark.errors import ParseException
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except ParseException as exc:
-        raise ValueError(f"not a single valid query: {exc}") from exc
-    gateway, todo = spark.sparkContext._gateway, [plan]
-    while todo:
-        node = todo.pop()
-        if any(is_instance_of(gateway, node, kind) for kind in _NOT_QUERIES):
-            raise ValueError("only queries are accepted")
-        for nested in (node.children(), node.innerChildren()):
-            inner = [nested.apply(i) for i in range(nested.size())]
-            todo += [n for n in inner if is_instance_of(gateway, n, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")]
-    return sql
-
-
-def adhoc_sql(t: RetailTables, sql: str, args: dict | None = None) -> DataFrame:
-    """Free SQL over the nine tables (as temporary views), with optional named binds."""
-    text = check_read_only(t.spark, sql)
-    t.register_views()
-    return t.spark.sql(text, args=args or None)
+def adhoc_sql(t: RetailTables, sql: str, args: dict | None = None, schema: str = free_sql.SCHEMA) -> DataFrame:
+    """Free SQL over the nine tables, bare or as ``schema.table``, with optional named binds (see ``free_sql``)."""
+    return free_sql.run({name: t.table(name) for name in TABLE_NAMES}, sql, args, schema)
 
 
 def ping(spark: SparkSession) -> DataFrame:

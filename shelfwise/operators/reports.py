@@ -8,11 +8,13 @@ ones are broadcast by the optimizer's size check, large ones sort-merge joined).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions import expressions as X
 from shelfwise.functions.filters import Filters, equals_unless_all, where_all
+from shelfwise.session import scratch_path
 from shelfwise.sources.catalog import RetailTables
 
 
@@ -268,12 +270,32 @@ def promotion_candidates_scoped(t: RetailTables, f: Filters = Filters()) -> Data
 # Order as a column
 # ---------------------------------------------------------------------------
 
+def positions(rows: DataFrame, group: str, keys: list[Column], name: str = "position") -> DataFrame:
+    """Each row's place in the list of its ``group``, by a sort that is dealt over ranges and not over groups.
+
+    Rows are range-partitioned by group and keys and written with their range's number. A group's rows in one range are numbered
+    alone; what lower ranges hold of the group is added, from counts of which there are at most ranges plus groups.
+    So a group that holds a third of all rows fills a third of the ranges.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "positions")
+    by = [F.col(group).asc_nulls_first(), *keys]
+    rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    counts = dealt.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    lower = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_group", "_of", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*keys))
+    numbered = dealt.withColumn("_own", own)
+    return numbered.join(before, (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group"))) \
+        .select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))
+
+
 def low_inventory_ordered(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """The low-stock list with each row's position in its warehouse's list, ties broken by all columns."""
     rows = low_inventory(t, f, ordered=False)
     order = [X.urgency(F.col("stockquantity"), F.col("reorderlevel")), F.col("leadtimedays").desc_nulls_last()]
     ties = [F.col(c).asc_nulls_last() for c in ("product_name", "supplier_name", "stockquantity", "reorderlevel")]
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("warehouse_name").orderBy(*order, *ties)))
+    return positions(rows, "warehouse_name", order + ties)
 
 
 def warehouse_category_bottom(t: RetailTables, f: Filters = Filters(), n: int = 10) -> DataFrame:

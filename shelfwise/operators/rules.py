@@ -84,16 +84,22 @@ def rule_worst_pairs(t: RetailTables, n: int | None = None) -> DataFrame:
     return pairs if n is None else pairs.limit(n)
 
 
-def trapped_capital(t: RetailTables) -> DataFrame:
+def trapped_capital(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """Slow movers: company-wide units sold < 5 % of the row's stock; capital = stock × price.
 
-    One row per inventory row (warehouse, product); units are all-time and
-    all-warehouse, as in the promotion report.
+    One row per inventory row (warehouse, product); units are all-warehouse, as in the promotion report, and all-time
+    unless ``f`` has dates: then only units of those days count, so it names what has not sold lately.
     """
     inv = t.inventory.select("warehouseid", "productid", "stockquantity")
     inv = inv.join(t.warehouse.select("warehouseid", F.col("name").alias("warehouse_name")), "warehouseid")
     inv = inv.join(t.product.select("productid", F.col("name").alias("product_name"), "price"), "productid")
-    rows = inv.join(units_by_product(t), "productid", "left")
+    if f.open_dates:
+        sold = units_by_product(t)
+    else:
+        days = t.salestransaction.where(f.date_in_range(F.col("transactiondate"))).select("transactionid")
+        sold = t.salestransactionitem.select("transactionid", "productid", "quantity").join(days, "transactionid") \
+            .groupBy("productid").agg(F.sum("quantity").alias("units"))
+    rows = inv.join(sold, "productid", "left")
     units = F.coalesce(F.col("units"), F.lit(0)).cast("long")
     slow = units < F.col("stockquantity") * F.lit(X.SLOW_MOVER_RATIO)
     out = rows.where(slow).select(

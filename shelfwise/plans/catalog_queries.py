@@ -5,6 +5,7 @@ from __future__ import annotations
 from shelfwise.operators import reports as R
 from shelfwise.plans import oracle as O
 from shelfwise.plans.registry import CATEGORY_ONLY, NARROW, OPEN, THREE_DAYS, register, register_raw
+from shelfwise.sources.catalog import respelled_details
 
 # -- O1 .. O5b: business reports ----------------------------------------------
 register("category_revenue", lambda t: R.category_revenue(t, OPEN), O.with_tables(O.category_revenue(OPEN)))
@@ -28,6 +29,8 @@ register("promotion_candidates_scoped", lambda t: R.promotion_candidates_scoped(
 
 register("promotion_candidates_scoped_open", lambda t: R.promotion_candidates_scoped(t, OPEN),
          O.with_tables(O.promotion_candidates_scoped(OPEN)))
+register("promotion_candidates_respelled", lambda t: R.promotion_candidates(respelled_details(t), OPEN),
+         O.with_tables(O.promotion_candidates(OPEN)))
 register("low_inventory_ordered", lambda t: R.low_inventory_ordered(t, OPEN), O.with_tables(O.low_inventory_ordered(OPEN)))
 register("warehouse_category_bottom10", lambda t: R.warehouse_category_bottom(t, OPEN, 10),
          O.with_tables(O.warehouse_category_bottom(OPEN, 10)))
@@ -92,6 +95,7 @@ for _table in TABLE_NAMES:
     register(f"inspect_{_table}", lambda t, _n=_table: L.inspect_table(t, _n), O.inspect(_table, KEYS[_table]))
 register("adhoc_sql", lambda t: L.adhoc_sql(t, O.ADHOC_SQL, O.ADHOC_ARGS), O.adhoc_oracle())
 
+register("adhoc_schema_sql", lambda t: L.adhoc_sql(t, O.ADHOC_SCHEMA_SQL), O.with_tables("select * from (" + O.ADHOC_SCHEMA_SQL.replace("retail.", "") + ")"))
 register("auto_series_adhoc", lambda t: C.auto_series(L.adhoc_sql(t, O.ADHOC_SERIES_SQL)), O.auto_series_adhoc())
 
 # -- P: copilot rules ------------------------------------------------------------
@@ -100,12 +104,15 @@ register("rule_warehouse_sales", lambda t: P.rule_warehouse_sales(t, P.order_for
 register("rule_reorder_contacts", P.rule_reorder_contacts, O.RULE_REORDER_CONTACTS)
 register("rule_worst_pairs", P.rule_worst_pairs, O.rule_worst_pairs())
 register("trapped_capital", P.trapped_capital, O.TRAPPED_CAPITAL)
+register("trapped_capital_recent", lambda t: P.trapped_capital(t, THREE_DAYS), O.trapped_capital(THREE_DAYS))
 register("search_warehouses", lambda t: P.search_warehouses(t, "nation_1"), O.search_warehouses("nation_1"))
 register("search_products", lambda t: P.search_products(t, "RED W"), O.search_products("RED W"))
 
 # -- X: streams ---------------------------------------------------------------
-from shelfwise.streaming.daily_sales import stream_daily_sales  # noqa: E402
-from shelfwise.streaming.stock_alerts import stream_stock_alerts  # noqa: E402
+from shelfwise.streaming.daily_sales import stream_daily_sales, stream_daily_sales_arriving  # noqa: E402
+from shelfwise.streaming.stock_alerts import stream_stock_alert_feed, stream_stock_alerts  # noqa: E402
 
 register_raw("stream_daily_sales", stream_daily_sales, O.STREAM_DAILY_SALES)
+register_raw("stream_daily_sales_arriving", stream_daily_sales_arriving, O.STREAM_DAILY_SALES)
 register_raw("stream_stock_alerts", stream_stock_alerts, O.STREAM_STOCK_ALERTS)
+register_raw("stream_stock_alert_feed", stream_stock_alert_feed, O.STREAM_STOCK_ALERT_FEED)

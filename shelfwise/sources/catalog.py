@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +60,32 @@ def load_stored_tables(spark: SparkSession, root: str) -> RetailTables:
     return RetailTables(spark=spark, **frames)
 
 
+# A JSON string, or a number with zeros at the end of its fraction; strings are matched so that they stay as they are.
+_JSON_TEXT = r'("(?:[^"\\]|\\.)*")'
+_WHOLE = _JSON_TEXT + r"|(-?\d+)\.0+(?![0-9eE])"
+_FRACTION = _JSON_TEXT + r"|(-?\d+\.\d*[1-9])0+(?![0-9eE])"
+
+
 def normal_json(text):
-    """One spelling for equal JSON documents (keys in order, no spaces), as it is a grouping key; other text stays."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+    """One spelling for equal JSON documents, as it is a grouping key: keys in order, the last of repeated keys, numbers by
+    value (``1``, ``1.0`` and ``1e0`` are one), no spaces. Other text stays.
+
+    Repeated keys need ``spark.sql.variant.allowDuplicateKeys``, which is set here where the session leaves it unset.
+    """
+    spark = SparkSession.active()
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    plain = F.to_json(F.try_parse_json(text))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(plain, _WHOLE, "$1$2"), _FRACTION, "$1$2"), text)
+
+
+def respelled_details(t: RetailTables) -> RetailTables:
+    """The tables as a store may hold them: every second product's details in other words for the same document (a repeated
+    key, other white space), read back through ``normal_json``."""
+    text = F.col("product_details")
+    other = F.regexp_replace(F.regexp_replace(text, r"^\s*\{", '{ "season" : null, '), ":", " : ")
+    details = F.when((F.col("productid") % 2 == 0) & F.get_json_object(text, "$.season").isNotNull(), other).otherwise(text)
+    return replace(t, product=t.product.withColumn("product_details", normal_json(details)))
 
 
 # The two fact tables meet on this key in every sales report.

@@ -1,8 +1,8 @@
 """Incremental event counts and values per day and event type.
 
-The dashboard re-runs its reports every minute; as a stream, the totals are kept
-up to date instead.  Day windows on event time, with a watermark so that state for
-closed days can be dropped in append or update mode.
+The dashboard re-runs its reports every minute; as a stream, the totals are kept up to date instead. A batch
+adds its own counts and exact sums; nothing is kept in event-time state that would forget, so an event counts in its
+day however late it arrives and in whatever order files come.
 """
 
 from __future__ import annotations
@@ -13,37 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions import expressions as X
-from shelfwise.streaming.sources import event_stream, event_time, latest, read_epochs, run_available, utc_day, write_epoch
+from shelfwise.session import scratch_path
+from shelfwise.streaming.sources import Sums, event_stream, run_available
 
-# How late an event may arrive and still count in its day.
-LATENESS = "1 day"
+PARTIAL = "day date, event_type string, events long, cents long"
+KEYS = ["day", "event_type"]
+#: Files that the registered run over arriving files deals the events into.
+ARRIVALS = 6
 
 
-def daily_sales_aggregation(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Streaming (or batch) aggregation: events and exact value per day and type."""
-    ev = events.select(event_time(F.col("ts")).alias("event_time"), "event_type",
+def daily_sales_aggregation(events: DataFrame) -> DataFrame:
+    """Events and exact value in cents per day and type, of one batch or of all rows."""
+    ev = events.select(F.col("ts").cast("date").alias("day"), "event_type",
                        (F.col("value").cast("decimal(12,2)") * F.lit(Decimal(100))).cast("long").alias("cents"))
-    return (ev.withWatermark("event_time", lateness)
-            .groupBy(F.window("event_time", "1 day"), "event_type")
-            .agg(F.count(F.lit(1)).alias("events"), F.sum("cents").alias("cents")))
+    return ev.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("events"), F.sum("cents").alias("cents"))
 
 
 def shape(agg: DataFrame) -> DataFrame:
-    return agg.select(utc_day(F.col("window.start")).alias("day"), "event_type", "events",
-                      X.money(F.col("cents")).alias("total_value"))
-
-
-RESULT = "day date, event_type string, events long, total_value double"
+    return agg.select("day", "event_type", "events", X.money(F.col("cents")).alias("total_value"))
 
 
 def stream_daily_sales(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None,
                        location: str | None = None) -> DataFrame:
-    """Run the stream over everything available and read the totals.
-
-    In update mode a batch carries only the totals it changed, and the watermark lets the state of closed
-    days go; the table of totals is the last row of each day and type.
-    """
-    agg = daily_sales_aggregation(event_stream(spark, sf_dir, files_per_trigger))
-    out = run_available(agg, "daily-sales", lambda batch, epoch, folder: write_epoch(shape(batch), epoch, f"{folder}/totals"),
-                        location=location)
-    return latest(read_epochs(spark, f"{out}/totals", RESULT), ["day", "event_type"])
+    """Run the stream over everything available and read the totals."""
+    def write(batch: DataFrame, epoch: int, folder: str) -> None:
+        Sums(batch.sparkSession, f"{folder}/totals", PARTIAL, KEYS).add(daily_sales_aggregation(batch), epoch)
+
+    out = run_available(event_stream(spark, sf_dir, files_per_trigger), "daily-sales", write, output_mode="append", location=location)
+    return shape(Sums(spark, f"{out}/totals", PARTIAL, KEYS).read())
+
+
+def stream_daily_sales_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a folder of several files, one a batch, into which days are dealt at random: most events are late."""
+    folder = scratch_path(spark, "arriving-events")
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    events.repartition(ARRIVALS, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    return stream_daily_sales(spark, folder, files_per_trigger=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.session import scratch_path
@@ -32,21 +32,6 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     return reader.option("pathGlobFilter", "events.parquet").parquet(root)
 
 
-def event_time(ts_ntz: Column) -> Column:
-    """A ``timestamp_ntz`` wall-clock time as the instant of that wall clock in UTC, to the microsecond.
-
-    Watermarks need a zone-aware timestamp; building it field by field keeps day
-    windows on the calendar days of the data whatever the session's time zone is.
-    """
-    return F.make_timestamp(F.year(ts_ntz), F.month(ts_ntz), F.dayofmonth(ts_ntz), F.hour(ts_ntz),
-                            F.minute(ts_ntz), F.date_part(F.lit("SECOND"), ts_ntz), F.lit("UTC"))
-
-
-def utc_day(ts: Column) -> Column:
-    """The UTC calendar day of an instant, independent of the session's time zone."""
-    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
-
-
 def run_available(stream_df: DataFrame, label: str, write_batch, output_mode: str = "update", location: str | None = None) -> str:
     """Process everything available, batch by batch, and stop; returns the output folder.
 
@@ -84,8 +69,50 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key the row of its last epoch."""
-    rest = [c for c in rows.columns if c not in keys and c != "epoch"]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"))
-    return best.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
+class Sums:
+    """Totals per key that epochs add to: one delta per epoch, and every ``EVERY`` epochs a snapshot of all sums so far.
+
+    Sums are mergeable, so the order in which rows arrive does not matter and no row is ever late. A reader takes the last
+    snapshot and the deltas behind it: at most ``EVERY`` folders, however many epochs there have been. A repeated epoch writes
+    the same again, as its delta comes from the same rows and its snapshot from earlier ones.
+    """
+
+    EVERY = 16
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str]):
+        self.spark, self.folder, self.schema, self.keys = spark, folder.rstrip("/"), schema, keys
+        self.sums = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in keys]
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.sums])
+
+    def _epochs(self, kind: str) -> list[int]:
+        """The finished epochs of a kind; folder names only."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root)]
+        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    def folders(self, before: int | None = None) -> list[str]:
+        """What a reader of all epochs (``before`` one) reads."""
+        last = max([e for e in self._epochs("snapshot") if before is None or e < before], default=-1)
+        deltas = [e for e in self._epochs("delta") if e > last and (before is None or e < before)]
+        return [f"{self.folder}/snapshot/epoch={last:09d}"] * (last >= 0) + [f"{self.folder}/delta/epoch={e:09d}" for e in deltas]
+
+    def read(self, before: int | None = None) -> DataFrame:
+        folders = self.folders(before)
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self._merged(self.spark.read.schema(self.schema).parquet(*folders))
+
+    def add(self, delta: DataFrame, epoch: int) -> DataFrame:
+        """Write one epoch's sums; returns them, read back."""
+        write_epoch(self._merged(delta), epoch, f"{self.folder}/delta")
+        if (epoch + 1) % self.EVERY == 0:
+            # from earlier snapshots only: one of this epoch may be left from a run whose commit was lost
+            earlier = self.folders(epoch) + [f"{self.folder}/delta/epoch={epoch:09d}"]
+            write_epoch(self._merged(self.spark.read.schema(self.schema).parquet(*earlier)), epoch, f"{self.folder}/snapshot")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/delta/epoch={epoch:09d}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from shelfwise.functions.filters import Filters
 from shelfwise.operators import reports as R
@@ -90,3 +92,17 @@ def test_bucketed_facts_save_the_transaction_shuffle(spark, small_tables, tmp_pa
         assert a == b
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_positions_are_numbered_by_range(spark):
+    """A group that holds nearly all rows is numbered in many tasks, NULL groups included, equal to one window."""
+    rows = spark.range(4000).selectExpr("id % 997 AS v", "CASE WHEN id % 100 = 0 THEN NULL WHEN id % 50 = 0 THEN 'b' ELSE 'a' END AS g", "id")
+    keys = [F.col("v").desc_nulls_last(), F.col("id").asc_nulls_last()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.positions(rows, "g", keys)
+        want = rows.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(*keys)))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "windowspecdefinition(_range" in plan_text(got, "extended")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -12,7 +12,9 @@ from shelfwise.functions import expressions as X
 from shelfwise.functions.expressions import escape_like
 from shelfwise.functions.filters import Filters
 from shelfwise.operators import kpis, series
-from shelfwise.operators.lookups import check_read_only, ping
+from shelfwise.operators import free_sql
+from shelfwise.operators.free_sql import check_read_only, to_spark
+from shelfwise.operators.lookups import adhoc_sql, ping
 from shelfwise.operators.rules import order_for
 from shelfwise.operators.series import pick_auto_columns
 from shelfwise.session import checkpoint_dir
@@ -123,3 +125,54 @@ def test_auto_columns(spark):
     df = spark.createDataFrame([("a", 1.5, 2)], "name string, revenue double, n long")
     assert pick_auto_columns(df) == ("name", "revenue")
     assert pick_auto_columns(df.select("n")) is None
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT java_method('java.lang.System', 'exit', 1)",
+    "SELECT system.builtin.reflect('java.lang.System', 'exit')", "SELECT `reflect`('a', 'b')", "SELECT * FROM parquet.`/any/path`",
+    "SELECT (SELECT count(*) FROM text.`/etc/hosts`)", "SELECT * FROM range(10)", "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT TRANSFORM(name) USING 'cat' AS (x) FROM product", "SELECT * FROM secret_view", "SELECT * FROM other.product",
+    "SELECT r'\\', reflect('a', 'b'), '' FROM product", "SELECT /* x */ reflect /* y */ ('a', 'b')", "WITH a AS (SELECT * FROM secret_view) SELECT * FROM a",
+    "SELECT input_file_name()", "DROP TABLE product", "SELECT 1; SELECT 2"])
+def test_free_sql_refuses(golden, sql):
+    golden.spark.range(1).createOrReplaceTempView("secret_view")
+    with pytest.raises(ValueError):
+        adhoc_sql(golden, sql)
+
+
+def test_free_sql_keeps_the_callers_views(golden):
+    spark = golden.spark
+    spark.range(3).createOrReplaceTempView("product")
+    try:
+        assert adhoc_sql(golden, "SELECT count(*) FROM product").first()[0] == 3
+        assert adhoc_sql(golden, "SELECT max(price) FROM retail.Product").first()[0] == Decimal("120.00")
+        assert spark.table("product").columns == ["id"]
+    finally:
+        spark.catalog.dropTempView("product")
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("product_")]
+
+
+def test_free_sql_in_postgresql_spelling(golden):
+    rows = adhoc_sql(golden, """
+        WITH sold (pid, cents) AS (SELECT i.productid, SUM(i.subtotal)::numeric FROM retail.salestransactionitem i GROUP BY i.productid)
+        SELECT p.name::text || ' (' || p.productid::int8 || ')' AS text, ROUND(s.cents::numeric / 3, 2) AS third, CAST(s.cents AS numeric) AS same,
+               CAST(s.cents AS NUMERIC(12, 1)) AS tenth, 'retail.product ::text (x)' AS told, CAST(s.cents AS double precision) AS d -- retail.x reflect(
+        FROM retail.product p JOIN sold AS s ON s.pid = p.productid WHERE p.name ILIKE '%MILK%' AND (s.cents) IN (50.00) ORDER BY 1 NULLS LAST""").collect()
+    assert [(r.text, r.third, r.same, r.tenth, r.told, r.d) for r in rows] == [
+        ("Milk (1000)", Decimal("16.67"), Decimal("50.00"), Decimal("50.0"), "retail.product ::text (x)", 50.0)]
+
+
+def test_rewriting_leaves_aliases_and_precisions():
+    assert to_spark("SELECT (SELECT x AS text), y::numeric(9,2), CAST(z AS varchar(3))") == "SELECT (SELECT x AS text), y::numeric(9,2), CAST(z AS varchar(3))"
+    assert to_spark("SELECT a :: numeric, CAST(b AS text)") == "SELECT a :: decimal(38,10), CAST(b AS string)"
+    assert "product" in free_sql.to_spark("select retail . product.name from retail.product")
+
+
+def test_json_documents_are_equal_by_value(spark):
+    pairs = [('{"a": 1, "b": 2.50}', '{"b":2.5,"a":1.0}'), ('{"a": 9, "a": 1}', '{"a":1}'), ('{"a": 1e2}', '{"a":100}'),
+             ('{"a": "1.0", "b": "x\\"2.50"}', '{ "b" : "x\\"2.50", "a":"1.0"}'), ('[1.00, {"z": 0.10}]', '[1,{"z":0.1}]')]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    assert all(r[0] == r[1] for r in df.select(normal_json(F.col("x")), normal_json(F.col("y"))).collect())
+    apart = [('{"a": "1.0"}', '{"a":"1"}'), ('{"a": 1}', '{"a":"1"}'), ('{"a": 10}', '{"a":1}'), ('[1,2]', '[2,1]')]
+    df = spark.createDataFrame(apart, "x string, y string")
+    assert all(r[0] != r[1] for r in df.select(normal_json(F.col("x")), normal_json(F.col("y"))).collect())
