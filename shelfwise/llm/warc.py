@@ -10,6 +10,9 @@ The archives are written by Spark's own text writer with its commit protocol, to
 that Spark knows: a row is a frame, and the line separator is an empty skippable frame, which
 Zstandard readers pass over. A file is a valid ``.warc.zst`` archive.
 
+A partition writes archive after archive, each of bounded size; a reader holds one at a time and
+passes its bytes to the decompressor once.
+
 Which pages revisit is decided on digests alone: counts and smallest ids are pre-aggregated
 per digest, so a payload that a third of all pages share costs a row per task.
 
@@ -37,6 +40,8 @@ MIN_REVISIT = 100
 #: Size of a dictionary, and bytes of records that it is built from at most.
 DICTIONARY_BYTES, SAMPLE_BYTES = 48 << 10, 2 << 20
 LEVEL = 3
+#: Records of an archive, and bytes of records from which on it ends earlier.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 4096, 64 << 20
 #: Skippable frame numbers of the dictionary and of the separator.
 DICTIONARY_MAGIC, SEPARATOR = 0x184D2A5D, "P*M\x18\x00\x00\x00\x00"
 RECORD_DATE = "2024-01-01T00:00:00Z"
@@ -88,7 +93,7 @@ def train_dictionary(records: list[bytes]) -> bytes | None:
 
 
 def frames(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The frames of one archive: the dictionary's skippable frame, then one frame per record."""
+    """The frames of one archive: the dictionary's skippable frame (empty without one), then one frame per record."""
     first, size = [], 0
     for record in records:
         first.append(record)
@@ -101,6 +106,8 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
     if raw is not None:
         packed = zstandard.ZstdCompressor(level=19).compress(raw)
         yield struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed
+    else:
+        yield b""
     compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True,
                                           dict_data=zstandard.ZstdCompressionDict(raw) if raw is not None else None)
     for record in first:
@@ -110,8 +117,37 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
         yield compressor.compress(record)
 
 
+def archives(records: Iterator[bytes], most: int, most_bytes: int) -> Iterator[bytes]:
+    """Frames of one archive after the other, each of ``most + 1`` frames, so that a writer that counts rows starts a file with
+    every archive. An archive that reaches ``most_bytes`` earlier is filled up with empty frames."""
+    head = next(records, None)
+    while head is not None:
+        taken = []
+
+        def part(first: bytes) -> Iterator[bytes]:
+            nonlocal head
+            size = 0
+            record: bytes | None = first
+            while record is not None:
+                taken.append(None)
+                size += len(record)
+                yield record
+                if len(taken) == most or size >= most_bytes:
+                    break
+                record = next(records, None)
+            head = next(records, None) if record is not None else None
+
+        yield from frames(part(head))
+        if head is not None:
+            yield from (b"" for _ in range(most - len(taken)))
+
+
+#: Bytes that the reader hands to the decompressor first, and at most, at a time.
+_SLICE, _LARGEST_SLICE = 1 << 12, 1 << 20
+
+
 def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of one archive."""
+    """The records of one archive; what is read past a frame's end is at most as long as the frame, or one slice."""
     view, at, decompressor = memoryview(data), 0, zstandard.ZstdDecompressor()
     while at < len(view):
         magic, = struct.unpack_from("<I", view, at)
@@ -122,9 +158,16 @@ def read_archive(data: bytes) -> Iterator[bytes]:
                 decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
             at += 8 + length
             continue
-        reader = decompressor.decompressobj()
-        yield reader.decompress(view[at:])
-        at = len(view) - len(reader.unused_data)
+        reader, out, step = decompressor.decompressobj(), [], _SLICE
+        while not reader.eof:
+            if at >= len(view):
+                raise ValueError("an archive ends within a record")
+            piece = view[at:at + step]
+            out.append(reader.decompress(piece))
+            at += len(piece)
+            step = min(2 * step, _LARGEST_SLICE)
+        at -= len(reader.unused_data)
+        yield b"".join(out)
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
@@ -144,7 +187,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write one archive per partition of the records under ``path``."""
+    """Write archives of at most ``ARCHIVE_RECORDS`` records and about ``ARCHIVE_BYTES`` under ``path``."""
     ship(pages.sparkSession)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +198,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                         yield record_bytes(*row)
 
         out, size = [], 0
-        for frame in frames(records()):
+        for frame in archives(records(), ARCHIVE_RECORDS, ARCHIVE_BYTES):
             out.append(frame)
             size += len(frame)
             if size >= 1 << 20:
@@ -165,7 +208,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     plan_records(pages).mapInArrow(archive, "frame binary").select(F.col("frame").cast("string")) \
-        .write.option("lineSep", SEPARATOR).text(path)
+        .write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_RECORDS + 1).text(path)
 
 
 _RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"

@@ -60,3 +60,61 @@ def test_broken_payload_is_noticed():
     assert warc.parse_record(good)[:2] == (1, 7)
     with pytest.raises(ValueError):
         warc.parse_record(good.replace(b"payload\r\n\r\n", b"pay1oad\r\n\r\n"))
+
+
+@pytest.mark.parametrize("most,most_bytes", [(16, 1 << 20), (64, 3000)])
+def test_archives_are_bounded(spark, tmp_path, monkeypatch, most, most_bytes):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", most)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", most_bytes)
+    rows = [(k, "u", f"<p>page {k} of several</p>" * (1 + k % 4)) for k in range(101)]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "a"))
+    files = [open(name, "rb").read() for name in glob.glob(str(tmp_path / "a" / "part-*"))]
+    held = [[warc.parse_record(r)[0] for r in warc.read_archive(data)] for data in files if data]
+    assert len(held) > 5 and max(map(len, held)) <= most
+    assert sorted(i for h in held for i in h) == list(range(101))
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, str(tmp_path / "a")).collect()) == list(range(101))
+
+
+def test_reading_is_linear():
+    """Twice the records, twice the bytes that the decompressor is given."""
+    class Counting:
+        given = 0
+
+        def __init__(self, real):
+            self.real = real
+
+        def decompressobj(self):
+            outer, inner = self, self.real.decompressobj()
+
+            class Reader:
+                eof = property(lambda _: inner.eof)
+                unused_data = property(lambda _: inner.unused_data)
+
+                def decompress(self, data):
+                    outer.given += len(data)
+                    return inner.decompress(data)
+
+            return Reader()
+
+    work = []
+    for n in (400, 800):
+        records = [warc.record_bytes(k, "u", f"payload {k}".encode() * 700, "0", "revisit", k) for k in range(n)]
+        data = b"".join(warc.frames(iter(records)))
+        counter = Counting(zstandard.ZstdDecompressor())
+        body = data[8 + int.from_bytes(data[4:8], "little"):]
+        raw = zstandard.ZstdDecompressor().decompress(data[8:8 + int.from_bytes(data[4:8], "little")])
+        counter.real = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        real = warc.zstandard.ZstdDecompressor
+        warc.zstandard.ZstdDecompressor = lambda **_: counter
+        try:
+            assert list(warc.read_archive(body)) == records
+        finally:
+            warc.zstandard.ZstdDecompressor = real
+        work.append(counter.given)
+    assert work[1] <= 2.3 * work[0]
+
+
+def test_cut_archive_is_noticed():
+    data = b"".join(warc.frames(iter([warc.record_bytes(1, "u", b"payload", "0", "revisit", 1)])))
+    with pytest.raises(ValueError):
+        list(warc.read_archive(data[:-5]))
