@@ -6,9 +6,12 @@ of the set, so exact copies never meet. The classes are joined in three indexes
 global token order (the tokens' hashes). With ``p(l) = n - ceil(t n) + l``, the first ``p(l)``
 tokens of two sets that link share at least ``l`` tokens.
 
+0. *First tokens.* Classes of similar size that share one of their first ``LEADING`` tokens are compared with the smallest
+   class of the token's list: ``LEADING`` rows a class at most. Most copies are in their components after this, and the indexes
+   that follow make pairs only across components.
 1. *All classes, extended prefixes, single tokens.* Every set indexes its prefix extended to
    ``l = 1 + n // 10``. A token that more than ``RARE`` classes index is frequent. Classes that share
-   a rare token become candidates. A set with fewer than ``1 + floor(0.075 n)`` frequent tokens in
+   a rare token and are not connected yet become candidates. A set with fewer than ``1 + floor(0.075 n)`` frequent tokens in
    its prefix shares a rare one with each of its partners, so its candidates are complete.
 2. *The other sets, all tokens, single tokens.* Frequencies are taken anew among these sets alone.
    A set with fewer frequent tokens than ``ceil(t n)`` is complete now.
@@ -29,7 +32,8 @@ entries per task that indexes it: a task that sees more sends a mark instead. To
 
 Defined cases: NULL, empty and white-space-only texts have no shingles, link with nothing and are
 their own component. A text of fewer than ``k`` words has its whole sequence as one shingle. Repeated
-rows (equal id and text) give repeated result rows. A NULL id is never a component's name. Other
+rows (equal id and text) give repeated result rows. Rows of NULL id link like others, and may join others' components, but a
+NULL id is never a component's name: components without any other id have NULL. Other
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -45,6 +49,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import SpanHasher, components, materialize, mix64, runs, text_chunks
 
 WORDS, PERCENT = 5, 75
+#: First tokens by which classes meet before anything is indexed, and parts that a frequent one is dealt into.
+LEADING, SALT = 4, 8
 #: Longest list of a token whose holders are all compared.
 RARE = 32
 #: Postings that one task gathers before it sends them, and that one bucket is planned to hold.
@@ -108,18 +114,19 @@ def extension(n):
 
 # ---------------------------------------------------------------- index
 
-_INDEX = "bucket int, token binary, class binary, size binary, heavy binary, times binary"
+_INDEX = "bucket int, token binary, class binary, size binary, heavy binary, times binary, member binary, component binary"
 _FOUND = "kind int, a long, b long, na int, nb int, n long"
 PAIR, HEAVY, STAR = 0, 1, 2
 
 
-def _index_rows(token: np.ndarray, cls: np.ndarray, size: np.ndarray, buckets: int, limit: int) -> pa.RecordBatch:
-    """Postings by bucket. A token with over ``limit`` holders here sends one mark (negative size), its holders a count."""
+def _index_rows(token: np.ndarray, cls: np.ndarray, size: np.ndarray, component: np.ndarray, buckets: int, limit: int) -> pa.RecordBatch:
+    """Postings by bucket. A token with over ``limit`` holders here sends one mark (negative size), its holders a count.
+    Classes that are connected already send their component, once a bucket."""
     order = np.lexsort((cls, token))
-    token, cls, size = token[order], cls[order], size[order]
+    token, cls, size, component = token[order], cls[order], size[order], component[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, size = token[fresh], cls[fresh], size[fresh]
+    token, cls, size, component = token[fresh], cls[fresh], size[fresh], component[fresh]
     edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     count = np.diff(np.append(edge, len(token)))
     many = np.repeat(count > limit, count)
@@ -129,21 +136,25 @@ def _index_rows(token: np.ndarray, cls: np.ndarray, size: np.ndarray, buckets: i
     size[mark] = -size[mark]
     keep = ~many
     keep[mark] = True
-    token, cls, size = token[keep], cls[keep], size[keep]
+    token, cls, size, component = token[keep], cls[keep], size[keep], component[keep]
     bucket = (token % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    token, cls, size, bucket = token[order], cls[order], size[order], bucket[order]
+    token, cls, size, component, bucket = token[order], cls[order], size[order], component[order], bucket[order]
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows: tuple[list, ...] = ([], [], [], [], [], [])
+    rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
     for b in np.flatnonzero(np.diff(cut)):
         at = slice(cut[b], cut[b + 1])
-        for column, value in zip(rows, (int(b), token[at].tobytes(), cls[at].tobytes(), size[at].astype("<i4").tobytes(), b"", b"")):
+        member, one = np.unique(cls[at], return_index=True)
+        group = component[at][one]
+        joined = member != group
+        for column, value in zip(rows, (int(b), token[at].tobytes(), cls[at].tobytes(), size[at].astype("<i4").tobytes(), b"", b"",
+                                        member[joined].tobytes(), group[joined].tobytes())):
             column.append(value)
     if len(heavy):
-        for column, value in zip(rows, (int(heavy[0] % buckets), b"", b"", b"", heavy.tobytes(), times.astype("<i8").tobytes())):
+        for column, value in zip(rows, (int(heavy[0] % buckets), b"", b"", b"", heavy.tobytes(), times.astype("<i8").tobytes(), b"", b"")):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32())] + [pa.array(c, pa.binary()) for c in rows[1:]],
-                                      names=["bucket", "token", "class", "size", "heavy", "times"])
+                                      names=[c.split()[0] for c in _INDEX.split(", ")])
 
 
 class _Gather:
@@ -151,11 +162,11 @@ class _Gather:
 
     def __init__(self, buckets: int, limit: int):
         self.buckets, self.limit = buckets, limit
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, token: np.ndarray, cls: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((token, cls, size))
+    def add(self, token: np.ndarray, cls: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((token, cls, size, component))
         self.held += len(token)
         if self.held >= FLUSH:
             yield from self.flush()
@@ -170,15 +181,15 @@ def _concat(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
 
-def _pairs_of_lists(cls: np.ndarray, size: np.ndarray, edge: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """All pairs within each list (at most ``RARE`` long) whose sizes allow a link."""
+def _pairs_of_lists(cls: np.ndarray, size: np.ndarray, component: np.ndarray, edge: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs within each list (at most ``RARE`` long) that are not connected and whose sizes allow a link."""
     for c in np.unique(count[count > 1]):
         i, j = np.triu_indices(int(c), 1)
         lists = edge[count == c]
         for lo in range(0, len(lists), max(1, 400_000 // len(i))):
             at = lists[lo:lo + max(1, 400_000 // len(i)), None]
             x, y = (at + i).ravel(), (at + j).ravel()
-            ok = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+            ok = (component[x] != component[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
             yield cls[x[ok]], cls[y[ok]], size[x[ok]], size[y[ok]]
 
 
@@ -196,6 +207,18 @@ def _unique_pairs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]
     return a[edge], b[edge], na[edge], nb[edge], np.add.reduceat(n, edge)
 
 
+def _component_of(cls: np.ndarray, member: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """The component of each class; a class that is no known member is its own."""
+    out = cls.copy()
+    if len(member):
+        member, at = np.unique(member, return_index=True)
+        component = component[at]
+        place = np.minimum(np.searchsorted(member, cls), len(member) - 1)
+        known = member[place] == cls
+        out[known] = component[place[known]]
+    return out
+
+
 def _match(table: pa.Table) -> pa.Table:
     """One bucket: candidates of its rare tokens with the number of tokens shared, and counts of frequent tokens."""
     token, cls = _concat(table, "token", np.uint64), _concat(table, "class", np.int64)
@@ -220,8 +243,11 @@ def _match(table: pa.Table) -> pa.Table:
         h = cls[of_frequent & posted]
         heavy.append(h)
         times.append(np.ones(len(h), np.int64))
+        component = _component_of(cls, _concat(table, "member", np.int64), _concat(table, "component", np.int64))
+        # a list whose holders are all connected needs no pairs
+        open_ = ~frequent & (np.minimum.reduceat(component, edge) != np.maximum.reduceat(component, edge))
         parts, held = [], 0
-        for a, b, na, nb in _pairs_of_lists(cls, size, edge[~frequent], count[~frequent]):
+        for a, b, na, nb in _pairs_of_lists(cls, size, component, edge[open_], count[open_]):
             parts.append((a, b, na, nb, np.ones(len(a), np.int64)))
             held += len(a)
             if held > 3_000_000:
@@ -245,40 +271,46 @@ def _rows_of(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def _lead(first: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """Positions of the first ``take`` tokens of every set."""
-    take = np.minimum(take, np.diff(first))
-    return np.arange(take.sum()) + np.repeat(first[:-1] - np.concatenate([[0], take.cumsum()[:-1]]), take)
-
-
-def _index_all(docs: DataFrame, buckets: int) -> DataFrame:
+def _index_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """Postings of ``class, size, component, tokens``; ``size`` is that of the whole set."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _Gather(buckets, RARE)
         for batch in batches:
-            for _, _, offsets, data in text_chunks(batch.column(0)):
-                token, first = shingle_sets(offsets, data)
-                size, name = np.diff(first), digests(token, first)
-                _, once = np.unique(name, return_index=True)
-                take = np.zeros(len(size), np.int64)
-                take[once] = (size - _least_overlap(size) + extension(size))[once]
-                take = np.minimum(np.where(size > 0, take, 0), size)
-                at = _lead(first, take)
-                yield from gather.add(token[at], np.repeat(name, take), np.repeat(size, take))
+            cls, size, component = (batch.column(k).to_numpy() for k in range(3))
+            for lo in range(0, len(cls), 4096):
+                token, first = _rows_of(batch.column(3).slice(lo, 4096))
+                times = np.diff(first)
+                yield from gather.add(token, *(np.repeat(v[lo:lo + 4096], times) for v in (cls, size, component)))
         yield from gather.flush()
 
-    return docs.select("text").where(F.col("text").isNotNull()).mapInArrow(index, _INDEX)
+    return sets.select("class", "size", "component", "tokens").mapInArrow(index, _INDEX)
 
 
-def _index_sets(sets: DataFrame, buckets: int) -> DataFrame:
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(buckets, RARE)
+def _with_component(sets: DataFrame, cc: DataFrame) -> DataFrame:
+    return sets.join(cc.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _first_tokens(prefixes: DataFrame) -> DataFrame:
+    """``token, band, class``: the first tokens of each class and its band of sizes."""
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, first = _rows_of(batch.column(1))
-            size = np.diff(first)
-            yield from gather.add(token, np.repeat(batch.column(0).to_numpy(), size), np.repeat(size, size))
-        yield from gather.flush()
+            cls, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, first = _rows_of(pa.array([blob[:8 * LEADING] for blob in batch.column(2).to_pylist()], pa.binary()))
+            times = np.diff(first)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.repeat(_band(size), times).astype(np.int32)),
+                                              pa.array(np.repeat(cls, times))], names=["token", "band", "class"])
+
+    return prefixes.select("class", "size", "tokens").mapInArrow(lead, "token long, band int, class long")
 
-    return sets.select("class", "tokens").mapInArrow(index, _INDEX)
+
+def _first_stars(prefixes: DataFrame) -> DataFrame:
+    """Each class with the smallest class that has one of its first tokens and a similar size; a token that very many classes
+    have is dealt over ``SALT`` tasks."""
+    leads = materialize(_first_tokens(prefixes), "join-first")
+    pivots = leads.groupBy("token", "band").agg(F.min("class").alias("b"), F.max("class").alias("c")).where("b <> c") \
+        .select("token", "band", "b", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return leads.withColumn("salt", F.pmod("class", F.lit(SALT)).cast("int")).join(pivots, ["token", "band", "salt"]) \
+        .where("class <> b").select(F.col("class").alias("a"), "b").distinct()
 
 
 def _candidates(index: DataFrame, buckets: int, level: int) -> tuple[DataFrame, DataFrame]:
@@ -378,18 +410,18 @@ def _by_frequent(size_a, size_b, frequent_a, frequent_b):
 
 
 def _star(table: pa.Table) -> pa.Table:
-    """Every holder of a key with the pivot of its band: a row per holder, not per pair.
+    """Every holder of a key with the pivot of its band, where they are not connected: a row per holder, not per pair.
 
     The pivot is the holder with the largest share of frequent tokens, which is nearest to what
     a group of near copies has in common.
     """
-    key, cls, size, frequent, _ = _holders(table)
+    key, cls, size, frequent, component = _holders(table)
     band = _band(size)
     order = np.lexsort((cls, -frequent / size, band, key))
-    key, cls, size, frequent, band = key[order], cls[order], size[order], frequent[order], band[order]
+    key, cls, size, frequent, component, band = (v[order] for v in (key, cls, size, frequent, component, band))
     edge = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
     pivot = np.flatnonzero(edge)[edge.cumsum() - 1]
-    apart = (cls != cls[pivot]) & _by_frequent(size, size[pivot], frequent, frequent[pivot])
+    apart = (component != component[pivot]) & _by_frequent(size, size[pivot], frequent, frequent[pivot])
     return _distinct(cls[apart], cls[pivot[apart]])
 
 
@@ -451,96 +483,109 @@ def _joined(pairs: DataFrame, cc: DataFrame) -> DataFrame:
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, size, tokens`` of the classes in ``wanted``, from the text of one row of each."""
+    chosen = classes.join(wanted, "class", "left_semi").select(F.col("row.doc_id").alias("of"), F.col("row.text_hash").alias("of_text"), "class")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, offsets, data in text_chunks(batch.column(1)):
+                token, first = shingle_sets(offsets, data)
+                name = digests(token, first)
+                mine = np.flatnonzero(name == batch.column(0).slice(lo, hi - lo).to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[mine]), pa.array(np.diff(first)[mine].astype(np.int64)),
+                     pa.array([token[first[k]:first[k + 1]].tobytes() for k in mine], pa.binary())], names=["class", "size", "tokens"])
+
+    # repeated rows come more than once
+    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")))
+    sets = materialize(rows.select("class", "text").mapInArrow(tokens, "class long, size long, tokens binary"), "join-sets")
+    if sets.count() != sets.select("class").distinct().count():
+        sets = materialize(sets.dropDuplicates(["class"]), "join-sets-once")
+    return sets
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
+
+
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
+                       F.col(text_col).cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            size, name = [], []
-            for _, _, offsets, data in text_chunks(batch.column(1)):
+            for lo, hi, offsets, data in text_chunks(batch.column(2)):
                 token, first = shingle_sets(offsets, data)
-                size.append(np.diff(first))
-                name.append(digests(token, first))
-            if size:
-                n = np.concatenate(size)
+                n, name = np.diff(first), digests(token, first)
+                prefix: list[bytes | None] = [None] * len(n)
+                for k in np.flatnonzero(n > 0):
+                    if int(name[k]) not in seen:  # one row of a class in this task brings its extended prefix
+                        seen.add(int(name[k]))
+                        take = min(int(n[k]), int(n[k]) - int(_least_overlap(n[k])) + int(extension(n[k])))
+                        prefix[k] = token[first[k]:first[k] + take].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array(np.concatenate(name), mask=n == 0)], names=["doc_id", "n_shingles", "class"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(name, mask=n == 0),
+                     pa.array(prefix, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "class", "tokens"])
 
-    rows = materialize(docs.mapInArrow(describe, "doc_id long, n_shingles long, class long"), "join-rows")
+    rows = materialize(docs.mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, class long, tokens binary"), "join-rows")
     classes = materialize(rows.where(F.col("class").isNotNull()).groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")), "join-classes")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")), "join-classes")
+    prefixes = rows.where(F.col("tokens").isNotNull()).select("class", F.col("n_shingles").alias("size"), "tokens")
     total = classes.agg(F.sum("size")).first()[0] or 0
 
-    # 1: all classes, extended prefixes
+    # 0: the first tokens of each class
+    stars = materialize(_first_stars(prefixes), "join-stars")
+    sets = _whole_sets(docs, classes, _ends(stars))
+    cc = components(materialize(_verified(stars, sets), "join-links-0"))
+
+    # 1: all classes, extended prefixes, across components
     buckets = max(1, int(total * 0.35) // BUCKET)
-    pairs, heavy = _candidates(_index_all(docs, buckets), buckets, 1)
+    pairs, heavy = _candidates(_index_sets(_with_component(prefixes, cc), buckets), buckets, 1)
     pairs = materialize(pairs, "join-pairs-1")
     still = classes.join(heavy.select(F.col("a").alias("class"), "f"), "class") \
         .where(F.col("f") >= 1 + F.floor(F.col("size") * 75 / 1000))
     still = materialize(still.select("class", "size"), "join-still-1")
-
-    # whole sets of the classes that matter from here on; the text of one row for each class
-    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).unionAll(still.select("class")).distinct()
-    chosen = classes.where(F.col("doc_id").isNotNull()).join(wanted, "class", "left_semi").select("doc_id", "class")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, offsets, data in text_chunks(batch.column(1)):
-                token, first = shingle_sets(offsets, data)
-                name = digests(token, first)
-                mine = np.flatnonzero(name == batch.column(0).slice(lo, hi - lo).to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[mine]), pa.array(np.diff(first)[mine].astype(np.int64)),
-                     pa.array([token[first[k]:first[k + 1]].tobytes() for k in mine], pa.binary())], names=["class", "size", "tokens"])
-
-    # ids of repeated rows with different texts lead to other sets, which are left out by name
-    sets = docs.join(chosen, "doc_id").select("class", "text").mapInArrow(tokens, "class long, size long, tokens binary")
-    sets = materialize(sets, "join-sets")
-    if sets.count() != sets.select("class").distinct().count():
-        sets = materialize(sets.dropDuplicates(["class"]), "join-sets-once")
+    wanted = _ends(pairs).unionAll(still.select("class")).distinct().join(sets.select("class"), "class", "left_anti")
+    sets = sets.unionAll(_whole_sets(docs, classes, wanted))
 
     # 2: the classes with many frequent tokens, all tokens
     total = still.agg(F.sum("size")).first()[0] or 0
-    more = left = None
+    left = None
     if total:
         buckets = max(1, int(total) // BUCKET)
         own = sets.join(still.select("class"), "class", "left_semi")
-        more, heavy = _candidates(_index_sets(own, buckets), buckets, 2)
+        more, heavy = _candidates(_index_sets(_with_component(own, cc), buckets), buckets, 2)
         pairs = materialize(pairs.unionAll(more).distinct(), "join-pairs-2")
         left = materialize(still.join(heavy.select(F.col("a").alias("class"), "f"), "class")
                            .where(F.col("f") >= F.ceil(F.col("size") * PERCENT / 100)).select("class", "size", "f"), "join-still-2")
 
+    def settle(found: DataFrame, label: str) -> None:
+        """Verify pairs across components and take in what links."""
+        nonlocal cc
+        new = materialize(_verified(_joined(found, cc).distinct(), sets), label)
+        if not new.isEmpty():  # what is known already is one edge a member
+            cc = components(cc.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new))
+
     # verification: one partner of each class, and the pivots, then what is not connected yet
     chosen = pairs.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
     total = left.agg(F.sum("size")).first()[0] if left is not None else 0
     if total:
         buckets = max(1, int(total) // (BUCKET // 4))
         own = sets.join(left.select("class", "f"), "class")
-        keyed = _index_combinations(own.withColumn("component", F.col("class")), buckets)
-        stars = keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_star, "a long, b long")
-        chosen = chosen.unionAll(stars).distinct()
-    links = materialize(_verified(chosen, sets), "join-links-1")
-    cc = components(links)
-    second = materialize(_verified(_joined(pairs, cc), sets), "join-links-2")
-    links = links.unionAll(second)
+        keyed = _index_combinations(_with_component(own, cc), buckets)
+        chosen = chosen.unionAll(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_star, "a long, b long"))
+    settle(chosen, "join-links-1")
+    settle(pairs, "join-links-2")
     if total:
-        if not second.isEmpty():
-            cc = components(links)
-        own = own.join(cc.withColumnRenamed("node", "class"), "class", "left") \
-            .withColumn("component", F.coalesce("component", "class"))
-        keyed = _index_combinations(own, buckets)
-        across = keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_across, "a long, b long").distinct()
-        third = materialize(_verified(across, sets), "join-links-3")
-        links = links.unionAll(third)
-        if not third.isEmpty():
-            cc = components(links)
-    elif not second.isEmpty():
-        cc = components(links)
-
-    named = classes.join(cc.withColumnRenamed("node", "class"), "class", "left") \
-        .withColumn("component", F.coalesce("component", "class"))
+        keyed = _index_combinations(_with_component(own, cc), buckets)
+        settle(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_across, "a long, b long"), "join-links-3")
+
+    named = _with_component(classes.select("class", "doc_id"), cc)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(smallest, "component").select("class", "component_id")
-    return rows.join(of_class, "class", "left").select(
+    return rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

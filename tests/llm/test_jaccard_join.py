@@ -73,6 +73,41 @@ def test_components_equal_brute_force(make_docs, monkeypatch, seed, rare):
     assert got == brute(rows)
 
 
+def test_rows_without_id_link_and_bridge(make_docs):
+    words = [f"w{k}" for k in range(100)]
+    ends = [words[:], words[:7] + [f"x{k}" for k in range(6)] + words[13:], words[:80] + [f"y{k}" for k in range(6)] + words[86:]]
+    both = words[:7] + [f"x{k}" for k in range(6)] + words[13:80] + [f"y{k}" for k in range(6)] + words[86:]
+    rows = [(5, " ".join(ends[1])), (9, " ".join(ends[2])), (None, " ".join(ends[0])), (None, " ".join(both[:50] + ["z"] + both[50:])),
+            (None, "alone " * 8), (None, "p q r s t u v"), (None, "p q r s t u v")]
+    got = sorted([tuple(r) for r in jj.shingle_components(make_docs(rows)).collect()], key=str)
+    assert got == brute(rows)
+    assert len({c for i, _, c in got if i in (5, 9)}) == 1
+
+
+def test_copies_that_are_connected_make_no_pairs(make_docs, monkeypatch):
+    """What the index makes grows with the texts, not with the pairs of a group."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+
+    def rows(n):
+        out = []
+        for k in range(n):
+            w = list(base)
+            w[rng.randrange(120)] = f"own{k}"
+            out.append((k, " ".join(w)))
+        return out
+
+    made = {}
+    for n in (12, 30):
+        calls = []
+        real = jj.materialize
+        monkeypatch.setattr(jj, "materialize", lambda df, label: calls.append((label, real(df, label))) or calls[-1][1])
+        assert len({r["component_id"] for r in jj.shingle_components(make_docs(rows(n))).collect()}) == 1
+        monkeypatch.setattr(jj, "materialize", real)
+        made[n] = sum(df.where(f"kind = {jj.PAIR}").count() for label, df in calls if label.startswith("join-found"))
+    assert made[30] <= 30 and made[12] <= 12
+
+
 def test_defined_cases(make_docs):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "A  B"), (6, "a b"), (6, "a b"), (None, "a b c d e f g"),
             (8, "a b c d e f g"), (9, "x " * 3000)]
