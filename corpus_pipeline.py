@@ -7,8 +7,8 @@ the last return the columns of documents, whatever other columns there are.
 
 Defined cases: a NULL or empty text is not toxic, has no language and so goes with the second stage.
 Rows of NULL id pass the stages by their text alone; the near-duplicate stage never removes them.
-Rows that share an id are removed as near duplicates only together, and exact repetitions of a row
-are one document there. Empty tables pass through empty.
+Rows that share an id are removed as near duplicates only together; of those that share id and text one stays
+there, whatever their other columns hold. Empty tables pass through empty.
 """
 
 from __future__ import annotations
@@ -44,8 +44,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     by_id = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
     by_id = materialize(by_id, "pipeline-ids")
-    if not by_id.where("rows > 1").isEmpty():
-        docs = docs.dropDuplicates()
+    again = by_id.where("rows > 1").select(F.col("doc_id").alias("again"))
+    if not again.isEmpty():  # repetitions of a document, decided id by id; rows without id stay as they are
+        repeated = docs.join(again, docs["doc_id"] == again["again"], "left_semi")
+        docs = docs.join(again, docs["doc_id"] == again["again"], "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]))
     gone = by_id.where("stays = 0").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
