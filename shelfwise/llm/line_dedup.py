@@ -13,7 +13,7 @@ compacted into one of the next, so a key is rewritten once a level and a batch m
 level at most. Totals only grow, so the record of a key is the largest of its runs, in whatever order batches come.
 
 All work is DataFrame functions; no Python runs on the executors. A line that a third of all documents hold is
-counted where it is read before its count moves. The documents' texts move once, beside the positions of
+counted where it is read before its count moves, and its holders are dealt into ``SALT`` parts when they learn of it. The documents' texts move once, beside the positions of
 their lines to be dropped.
 
 Defined cases: a NULL or empty text is one empty line. Rows of equal id are one document; all their copies of a line stay or go
@@ -37,6 +37,8 @@ MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 8, 4
 #: Keys that one bucket of the runs is planned for.
 BUCKET_KEYS, MAX_BUCKETS = 1_000_000, 50_000
+#: Parts that the holders of a repeated line are dealt into.
+SALT = 16
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH = ["h", "g"]
@@ -136,7 +138,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     runs = LineRuns(spark, min(MAX_BUCKETS, 1 + keys.count() // bucket_keys), min_docs, fanout)
     for batch in range(batches):
         runs.add(keys.where(F.col("batch") == batch))
-    gone = keys.join(runs.repeated(), _HASH).where(~F.col("doc_id").eqNullSafe(F.col("last"))) \
+    spread = runs.repeated().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    gone = keys.withColumn("salt", F.pmod("text_hash", F.lit(SALT)).cast("int")).join(spread, [*_HASH, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("last"))) \
         .groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.collect_set("pos").alias("gone"))
     gone = materialize(gone, "line-gone")
     runs.close()
