@@ -65,8 +65,15 @@ _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)\s
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 _NAME = re.compile(r"[a-z]+")
-#: A name of this form tells what a container has beside it, not what it is.
-_LAYOUT = frozenset("has no with without".split())
+# Words that a mark may stand with in one name. Any other word makes the name say something else: page-with-sidebar
+# has a sidebar beside it, ad-free has no adverts, related-work is a section.
+PARTNERS = frozenset("posts articles stories links buttons icons list box bar block section area form widget".split())
+PLACES = frozenset("""main site page left right top bottom wrap wrapper container inner outer primary secondary global item items group
+panel holder""".split())
+# Marks that, alone, are no boilerplate inside an article: it may have its own head, foot, notes and legal parts.
+ARTICLE_OWN = frozenset("header footer side search legal tags notice notices alert hidden widget social".split())
+#: Long blocks of these elements without stop words (code, lists of names, cells) are what their neighbours are.
+BY_NEIGHBOURS = frozenset("pre li dd dt td th blockquote figcaption address".split())
 STOP_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 
 
@@ -78,17 +85,21 @@ class Block:
     article: int  # number of the article the block is in, 0 if none
     heading: bool
     marks: int = 0  # containers around it whose class or id marks boilerplate
+    tag: str = ""  # element that the text stands in
+    forms: tuple[int, ...] = ()  # forms around it
     label: int = OPEN
 
 
 @dataclass
 class _State:
-    stack: list[tuple[str, bool, int, int]] = field(default_factory=list)  # open elements: name, banned, article, marks
+    # open elements: name, banned, article, marks, forms
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     link: list[str] = field(default_factory=list)
     in_link: int = 0
     articles: int = 0
+    forms: int = 0
     article_marks: dict[int, int] = field(default_factory=dict)  # marks around each outermost article
     heading: bool = False
 
@@ -105,13 +116,20 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _marked(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether class or id names the element as boilerplate: a mark alone, or marks with words that say what or where they are."""
     if name in ("html", "body") or name in ARTICLE:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id"):
             for parts in map(_NAME.findall, value.strip("\"'").lower().split()):
-                if parts and parts[0] not in _LAYOUT and not MARKED.isdisjoint(parts):
+                rest = [p for p in parts if p not in MARKED]
+                if not parts or len(rest) == len(parts):
+                    continue
+                if in_article:
+                    if PARTNERS.issuperset(rest) and not (len(parts) == 1 and parts[0] in ARTICLE_OWN) and (rest or len(set(parts)) == len(parts)):
+                        return True
+                elif (PARTNERS | PLACES).issuperset(rest):
                     return True
     return False
 
@@ -125,8 +143,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(s.text).split())
             if text:
                 link = len(" ".join("".join(s.link).split()))
-                banned, article, marks = s.stack[-1][1:] if s.stack else (False, 0, 0)
-                s.blocks.append(Block(text, link, banned, article, s.heading, marks))
+                tag, banned, article, marks, forms = s.stack[-1] if s.stack else ("", False, 0, 0, ())
+                s.blocks.append(Block(text, link, banned, article, s.heading, marks, tag, forms))
             s.text.clear()
             s.link.clear()
 
@@ -184,21 +202,30 @@ def blocks(page: str) -> list[Block]:
                 s.stack.pop()
             if name in VOID:
                 continue
-            banned, article, marks = s.stack[-1][1:] if s.stack else (False, 0, 0)
+            banned, article, marks, forms = s.stack[-1][1:] if s.stack else (False, 0, 0, ())
             if name in ARTICLE:
                 s.articles += 1
                 article = article or s.articles
                 s.article_marks.setdefault(article, marks)
             if name == "header" and article:
                 pass  # an article's own head
+            elif name == "form":
+                s.forms += 1
+                forms += (s.forms,)
             elif name in BOILERPLATE:
                 banned = True
             banned = banned or (bool(attributes) and _hidden(attributes))
-            marks += bool(attributes) and _marked(name, attributes)
-            s.stack.append((name, banned, article, marks))
+            marks += bool(attributes) and _marked(name, attributes, bool(article))
+            s.stack.append((name, banned, article, marks, forms))
         elif name not in VOID:
             add("")
     end_block()
+    # a form around most of the page's text is the page's frame and no form to fill in
+    plain = [b for b in s.blocks if not b.banned]
+    size_of = {form: sum(len(b.text) - b.link_chars for b in plain if form in b.forms) for form in range(1, s.forms + 1)}
+    frames = {form for form, n in size_of.items() if 2 * n > sum(len(b.text) - b.link_chars for b in plain)}
+    for b in s.blocks:
+        b.banned = b.banned or not frames.issuperset(b.forms)
     # of the articles with text those with the fewest marks around them are the page's own
     around = [s.article_marks[b.article] for b in s.blocks if b.article and not b.banned and b.marks == s.article_marks[b.article]]
     least = min(around, default=0)
@@ -229,7 +256,7 @@ def classify(page: list[Block]) -> None:
             b.label = GOOD
         elif not (listed and latin):
             b.label = GOOD if len(b.text) >= LONG or not b.link_chars else OPEN
-        elif len(b.text) >= LONG and stops < FEW_STOPS and not b.article:
+        elif len(b.text) >= LONG and stops < FEW_STOPS and not b.article and b.tag not in BY_NEIGHBOURS:
             b.label = BAD
     # second pass: undecided blocks look to both sides, inside an article no further than its ends
     decided = [b.label for b in page]

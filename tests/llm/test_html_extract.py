@@ -78,3 +78,39 @@ def test_paragraphs_with_many_links_inside_an_article():
     half, whole = f"{LONG[:50]}<a href=x>{LONG[50:]}</a>", f"<a href=x>{LONG}</a>"
     assert main_text(f"<article><p>{LONG}</p><p>{half}</p><p>{whole}</p><ul><li><a href=y>Next</a></ul></article>") == f"{LONG}\n{LONG}\n{LONG}"
     assert main_text(f"<div><p>{LONG}</p><p>{half}</p></div>") == LONG
+
+
+P = "<p>The first part of the text is about the river and the town that it runs through in the north of the country.</p>"
+Q = "<p>It was in the second year of the work that the people of the town had to leave their houses by the water.</p>"
+
+
+def _text(part):
+    return part[3:-4]
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="page-with-sidebar">', '<div class="layout-sidebar-right">', '<div class="ad-free">', '<form id="aspnetForm" action="x">',
+                                     '<div class="has-sidebar no-ads">'])
+def test_wrappers_that_only_mention_boilerplate_keep_the_page(wrapper):
+    end = "</form>" if wrapper.startswith("<form") else "</div>"
+    assert main_text(f"<html><body>{wrapper}{P}{Q}{end}</body></html>") == _text(P) + "\n" + _text(Q)
+
+
+@pytest.mark.parametrize("part", ['<header class="entry-header"><h1>The title of it</h1></header>', '<div class="post-header"><h1>The title of it</h1></div>',
+                                  '<section id="related-work">{}</section>', '<section id="search-algorithms">{}</section>', '<div class="side-by-side">{}</div>'])
+def test_parts_of_an_article_stay(part):
+    filled = part.format(Q)
+    want = "The title of it" if "title" in part else _text(Q)
+    assert want in main_text(f"<html><body><article>{filled}{P}</article></body></html>")
+
+
+def test_code_and_lists_between_paragraphs_stay():
+    code = "<pre>" + "def f(x): return g(x) + h(x)  " * 12 + "</pre>"
+    names = "<ul><li>" + "granite basalt marble quartz slate " * 9 + "</li></ul>"
+    text = main_text(f"<html><body><div>{P}{code}{Q}{names}{P}</div></body></html>")
+    assert "return g(x)" in text and "granite basalt" in text
+
+
+def test_boilerplate_still_goes():
+    page = (f'<html><body><div class="site-sidebar">{Q}</div><div id="cookie-banner">{Q}</div><article>{P}<div class="related-posts">{Q}</div>'
+            f'<div class="comments">{Q}</div><form>{Q}</form></article><div class="comment-list">{Q}</div></body></html>')
+    assert main_text(page) == _text(P)
