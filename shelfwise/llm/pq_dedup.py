@@ -22,7 +22,8 @@ every list: their comparisons grow with the square of their number (see README).
 
 Defined cases: vectors that are NULL, empty, all zero, or hold NULL or non-finite components link with
 nothing, and so do vectors of different length with each other. Rows of one id are one vector each for
-itself in the links, and share the id in the result. A NULL id is never a component's name. Other
+itself in the links, and share the id in the result. Vectors of NULL id link and connect like others; a NULL id is never a
+component's name (components without any id have NULL, and kept is NULL where the id is). Other
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -308,10 +309,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "weight", "vector"])
 
     classes = raw.where(F.col("row").isNotNull()).groupBy("embedding").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("row").alias("row"))
+        F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("row").alias("id"))
+    # a class goes by its vector's hash, so ids that are missing or repeat do not matter until components are named
     classes = materialize(classes, "pq-classes")
-    named = classes.where(F.col("id").isNotNull())
-    packed = materialize(named.select("id", "weight", "embedding").mapInArrow(pack, "id long, weight long, vector binary"), "pq-vectors")
+    packed = materialize(classes.select("id", "weight", "embedding").mapInArrow(pack, "id long, weight long, vector binary"), "pq-vectors")
     found = None
     for (length,) in sorted(tuple(r) for r in packed.select(F.length("vector")).distinct().collect()):
         part = _links(packed.where(F.length("vector") == length), threshold)
@@ -320,8 +321,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     found = materialize(found, "pq-links") if found is not None else spark.createDataFrame([], _LINKS)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     cc = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of_class = classes.join(counts, "id", "left").join(cc.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("embedding").alias("e"), F.col("row").alias("r"), F.coalesce("component", "id").alias("component_id"),
+    of_class = classes.join(counts, "id", "left").join(cc.withColumnRenamed("node", "id"), "id", "left") \
+        .withColumn("component", F.coalesce("component", "id"))
+    names = of_class.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    of_class = of_class.join(names, "component").select(
+        F.col("embedding").alias("e"), F.col("id").alias("r"), "component_id",
         (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # joined by the vector's hash and, exactly, by the vector
     return raw.join(of_class, (F.col("row") == F.col("r")) & (F.col("embedding") == F.col("e")), "left").select(

@@ -29,8 +29,9 @@ def brute(rows, threshold=0.9):
                 group[find(a)] = find(b)
     low = {}
     for k, (i, _) in enumerate(rows):
-        low[find(k)] = min(low.get(find(k), i), i)
-    return sorted((i, n[k], low[find(k)], i == low[find(k)]) for k, (i, _) in enumerate(rows))
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    return sorted(((i, n[k], low.get(find(k)), None if i is None or find(k) not in low else i == low[find(k)]) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def near(rng, base, noise):
@@ -48,7 +49,7 @@ def test_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(pq, "LIST_SIZE", 20)
     monkeypatch.setattr(pq, "MEMBER_BLOCK", blocks[0])
     monkeypatch.setattr(pq, "QUERY_BLOCK", blocks[1])
-    got = sorted(tuple(r) for r in pq.near_duplicates(vectors(spark, rows)).collect())
+    got = sorted((tuple(r) for r in pq.near_duplicates(vectors(spark, rows)).collect()), key=str)
     assert got == brute(rows)  # recall 1.0
 
 
@@ -56,7 +57,7 @@ def test_defined_cases(spark):
     v = [1.0, 0.0, 0.5]
     rows = [(1, v), (2, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [float("nan"), 1.0, 0.0]), (7, [None, 1.0, 0.0]),
             (8, [float("inf"), 1.0, 0.0]), (9, [1.0, 0.0]), (10, [2.0, 0.0]), (11, [1e-30, 0.0, 5e-31])]
-    got = sorted(tuple(r) for r in pq.near_duplicates(vectors(spark, rows)).collect())
+    got = sorted((tuple(r) for r in pq.near_duplicates(vectors(spark, rows)).collect()), key=str)
     assert got == brute(rows)
     assert pq.near_duplicates(vectors(spark, [])).count() == 0
     assert pq.near_duplicates(vectors(spark, [(1, v)])).collect()[0].kept is True
@@ -64,6 +65,22 @@ def test_defined_cases(spark):
     assert sorted((r.n_links, r.component_id) for r in one) == [(2, 1)] * 3
 
 
+def test_missing_and_repeated_ids_link_by_vector(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal(24), rng.standard_normal(24)
+    near_a, near_b = near(rng, a, 0.05), near(rng, b, 0.05)
+    a, b = a.astype(np.float32).tolist(), b.astype(np.float32).tolist()
+    x = [1.0] + [0.0] * 23
+    bridge = [float(np.cos(0.4)), float(np.sin(0.4))] + [0.0] * 22
+    far = [float(np.cos(0.8)), float(np.sin(0.8))] + [0.0] * 22
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b),  # one id, two vectors: each links with its own copy only
+            (7, x), (None, bridge), (9, far),  # a row without id joins two others
+            (20, near(rng, np.array(near_a), 0.01)), (20, near_a),  # one id, two near vectors
+            (None, [0.0, 0.0, 1.0] + [0.0] * 21), (None, [0.0, 0.0, 1.0, 0.1] + [0.0] * 20)]
+    got = sorted((tuple(r) for r in pq.near_duplicates(vectors(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_estimates_never_miss_within_the_error():
     rng = np.random.default_rng(3)
     x = pq.unit(rng.standard_normal((400, 24)))
