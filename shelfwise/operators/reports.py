@@ -121,13 +121,18 @@ def warehouse_performance(t: RetailTables, f: Filters = Filters(), exact: bool =
         st = st.join(in_category.select("transactionid"), "transactionid", "left_semi")
     per_wh = st.groupBy("warehouseid").agg(
         F.sum(X.cents(F.col("totalamount"))).alias("kept_cents"), F.count("transactionid").alias("n_kept"))
+    return ranked_warehouses(t, f, per_wh, t.salestransaction.where(F.col("warehouseid").isNotNull()), exact)
+
+
+def ranked_warehouses(t: RetailTables, f: Filters, per_wh: DataFrame, sales: DataFrame, exact: bool = False) -> DataFrame:
+    """O2's rows from ``kept_cents`` and ``n_kept`` per warehouse; ``sales`` holds the warehouses that have transactions at all."""
     wh = warehouses_in_scope(t, f, "name", "location", "region")
     if f.by_category:
         joined = wh.join(per_wh, "warehouseid")
     else:
         joined = wh.join(per_wh, "warehouseid", "left")
         if not f.open_dates:
-            seen = t.salestransaction.where(F.col("warehouseid").isNotNull()).select("warehouseid").distinct()
+            seen = sales.select("warehouseid").distinct()
             joined = joined.join(seen.withColumn("seen", F.lit(True)), "warehouseid", "left") \
                 .where(F.col("n_kept").isNotNull() | F.col("seen").isNull())
     revenue = F.coalesce(F.col("kept_cents"), F.lit(0).cast("long"))

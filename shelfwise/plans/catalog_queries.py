@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfwise.operators import reports as R
+from shelfwise.operators.rollup import arriving_sales
 from shelfwise.plans import oracle as O
 from shelfwise.plans.registry import CATEGORY_ONLY, NARROW, OPEN, THREE_DAYS, register, register_raw
 from shelfwise.sources.catalog import respelled_details
@@ -108,6 +109,16 @@ register("trapped_capital_recent", lambda t: P.trapped_capital(t, THREE_DAYS), O
 register("search_warehouses", lambda t: P.search_warehouses(t, "nation_1"), O.search_warehouses("nation_1"))
 register("search_products", lambda t: P.search_products(t, "RED W"), O.search_products("RED W"))
 
+# -- O1, O2, O4 from the roll-up -------------------------------------------------
+register("rollup_category_revenue", lambda t: arriving_sales(t).category_revenue(OPEN), O.with_tables(O.category_revenue(OPEN)))
+register("rollup_category_revenue_filtered", lambda t: arriving_sales(t).category_revenue(NARROW), O.with_tables(O.category_revenue(NARROW)))
+register("rollup_warehouse_performance", lambda t: arriving_sales(t).warehouse_performance(THREE_DAYS),
+         O.with_tables(O.warehouse_performance(THREE_DAYS)))
+register("rollup_warehouse_performance_category", lambda t: arriving_sales(t).warehouse_performance(CATEGORY_ONLY),
+         O.with_tables(O.warehouse_performance(CATEGORY_ONLY)))
+register("rollup_warehouse_category", lambda t: arriving_sales(t).warehouse_category(CATEGORY_ONLY),
+         O.with_tables(O.warehouse_category(CATEGORY_ONLY)))
+
 # -- X: streams ---------------------------------------------------------------
 from shelfwise.streaming.daily_sales import stream_daily_sales, stream_daily_sales_arriving  # noqa: E402
 from shelfwise.streaming.stock_alerts import stream_stock_alert_feed, stream_stock_alerts  # noqa: E402
