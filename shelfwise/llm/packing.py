@@ -4,13 +4,12 @@ Method: the lengths of all pieces form a histogram of at most ``capacity`` count
 configuration linear program over it (a configuration is a multiset of lengths that fits
 one sequence) is solved by multiplicative weights: every length has a weight, a knapsack
 dynamic program prices the best configuration, that configuration is used for a step, and
-the weights of the lengths it covers shrink. The fractional solution is rounded down and
-the rest packed best-fit, longest first. The plan holds configurations and how often each
+the weights of the lengths it covers shrink, until every length is covered. The fractional solution is rounded up as
+far as the counts go, the fullest configurations first; what then is left is packed best-fit, longest first. The plan holds configurations and how often each
 is used; every piece finds its place from its rank among pieces of equal length, so no
 task ever holds all pieces.
 
-The driver holds the histogram and the plan only. Both are bounded by ``capacity`` and the
-number of steps, not by the corpus.
+The driver holds the histogram and the plan only. Both are bounded by ``capacity`` and ``steps``, not by the corpus.
 
 Defined cases: a NULL text is the empty text, which is the separator id alone. Repeated
 rows are packed each for itself. Other columns are ignored. An empty table packs nothing.
@@ -35,14 +34,11 @@ from shelfwise.llm.common import materialize, text_chunks
 CAPACITY = 2048
 SEPARATOR_ID = 0
 TOKENIZER_FILE = "word_bpe_49k.json"
-#: Steps of the multiplicative weights; each prices one configuration.
+#: Even parts that the program's solution is made of; lengths that are covered within a part cut it into more steps.
 STEPS = 250
-MAX_STEPS_FACTOR = 2
 #: How fast the weight of a covered length falls, and how much more a long one weighs.
-ETA = 0.02
-LONG_BONUS = 0.02
-#: A configuration used less often than this is not worth rounding; its pieces join the rest.
-MIN_USE = 4
+ETA = 1.0
+LONG_BONUS = 0.1
 #: Entries a worker's word cache keeps before the older half goes.
 CACHE_WORDS = 80_000
 #: Signs that may stand behind a word; a run of them is one unit of its own. The apostrophe
@@ -154,7 +150,8 @@ class CachedEncoder:
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of
     its white-space separated words in turn. Words of letters, with signs behind,
-    are merged in batches; all others go through the whole tokenizer.
+    are merged in batches; all others go through the whole tokenizer. Of another tokenizer than
+    ``TOKENIZER_FILE`` nothing of this is known: whole texts go through it.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -174,7 +171,7 @@ class CachedEncoder:
         parts: dict[str, tuple[str, str]] = {}
         cores: dict[str, bytes] = {"": b""}
         for word in words:
-            if self.merge is not None and len(word) <= 64 and "Σ" not in word:
+            if len(word) <= 64 and "Σ" not in word:
                 low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
                 core = low.rstrip(SIGNS)
                 if core.isalpha() or not core:
@@ -182,14 +179,16 @@ class CachedEncoder:
                     cores[core] = cores[low[len(core):]] = b""
                     continue
             out[word] = self._whole(word)
-        if self.merge is not None:
-            cores = dict(zip(cores, self.merge([c.encode() for c in cores])))
+        cores = dict(zip(cores, self.merge([c.encode() for c in cores])))
         for word, (core, sign) in parts.items():
             out[word] = cores[core] + cores[sign]
         return out
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.merge is None:
+            yield from map(self._whole, texts)
+            return
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         young, old = self.young, self.old
         young[""] = b""
@@ -260,14 +259,17 @@ def _price(weights: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacit
     """The configuration of greatest weight, by a knapsack dynamic program over capacities."""
     dense = np.full(capacity + 1, -1.0)
     dense[lengths] = weights
-    best = np.zeros(capacity + 1)
+    longest = int(lengths.max())
+    best = np.zeros(capacity + 1)  # from the end: best[capacity - c] is the value of capacity c
     pick = np.zeros(capacity + 1, np.int64)
+    gain = np.empty(longest)
     for c in range(1, capacity + 1):
-        gain = best[c - 1::-1] + dense[1:c + 1] if c > 1 else best[:1] + dense[1:2]
-        size = int(gain.argmax()) + 1
-        best[c] = best[c - 1]
-        if gain[size - 1] > best[c] + 1e-15:
-            best[c], pick[c] = gain[size - 1], size
+        top, at = min(c, longest), capacity - c + 1
+        np.add(best[at:at + top], dense[1:top + 1], out=gain[:top])
+        size = int(gain[:top].argmax())
+        best[at - 1] = best[at]
+        if gain[size] > best[at] + 1e-15:
+            best[at - 1], pick[c] = gain[size], size + 1
     position = {int(v): k for k, v in enumerate(lengths)}
     out: dict[int, int] = {}
     c = capacity
@@ -289,22 +291,18 @@ def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int)
     (``LONG_BONUS``: they are the hard ones, and short ones can fill any gap later), and falls
     exponentially with the part of its count that is covered, compared with the length that is
     furthest behind. A step uses the priced configuration for an even part of the total, or until
-    one of its lengths is covered.
+    one of its lengths is covered; so there are about as many steps as parts and lengths together.
     """
     covered = np.zeros(len(lengths))
     used: list[tuple[dict[int, int], float]] = []
     size = lengths / capacity
     base = size * (1.0 + LONG_BONUS * size)
     part = max(1.0, float(counts @ lengths) / capacity / steps)
-    for _ in range(MAX_STEPS_FACTOR * steps):
-        open_ = covered < counts - 1e-9
-        if (counts - covered) @ lengths < counts @ lengths / steps:
-            break
-        share = covered / counts
-        weights = np.where(open_, base * np.exp(-ETA * (share - share[open_].min())), 0.0)
-        config = _price(weights, lengths, np.ceil(counts - covered - 1e-9).astype(np.int64), capacity)
-        if not config:
-            break
+    while len(open_ := np.flatnonzero(covered < counts - 1e-9)):
+        share = covered[open_] / counts[open_]
+        weights = base[open_] * np.exp(-ETA * (share - share.min()))
+        missing = np.ceil(counts[open_] - covered[open_] - 1e-9).astype(np.int64)
+        config = {int(open_[k]): a for k, a in _price(weights, lengths[open_], missing, capacity).items()}
         step = min(part, *((counts[k] - covered[k]) / a for k, a in config.items()))
         for k, a in config.items():
             covered[k] += a * step
@@ -312,25 +310,44 @@ def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int)
     return used
 
 
+def round_uses(solution: list[tuple[dict[int, int], float]], lengths: np.ndarray, counts: np.ndarray,
+               capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of the solution's configurations, and best fit for what they leave.
+
+    Every configuration is used as often as its fractional use rounded up, as far as the counts go, the fullest first. The
+    last configurations of a solution hold what did not fit elsewhere; those that waste more than a limit are left
+    to best fit. Limits are tried from none to the whole capacity; the fewest sequences win, of equal ones those that
+    best fit adds least to.
+    """
+    filled = [(sum(a * int(lengths[k]) for k, a in config.items()), x, config) for config, x in solution]
+    filled.sort(key=lambda f: (-f[0], -f[1]))
+    found, least = [], None
+    limits = [0, *(1 << b for b in range(capacity.bit_length()))]
+    for limit in limits:
+        left, uses = counts.copy(), []
+        for fill, x, config in filled:
+            if capacity - fill > limit:
+                break
+            n = min(int(np.ceil(x - 1e-9)), *(int(left[k]) // a for k, a in config.items()))
+            if n > 0:
+                uses.append((config, n))
+                for k, a in config.items():
+                    left[k] -= a * n
+        rest = _best_fit(lengths, left, capacity)
+        added = sum(n for _, n in rest)
+        total = sum(n for _, n in uses) + added
+        if least is None or (total, added) < least:
+            found, least = uses + rest, (total, added)
+    return found
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
-    """Pack the histogram: the rounded configuration program first, best fit for what is left."""
+    """Pack the histogram by the rounded configuration program; see ``solve_lp`` and ``round_uses``."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(v)] for v in lengths], dtype=np.int64)
     if len(lengths) and lengths[-1] > capacity:
         raise ValueError(f"length {lengths[-1]} is over the capacity {capacity}")
-    uses: list[tuple[dict[int, int], int]] = []
-    left = counts.copy()
-    small = lengths < capacity
-    if small.any():
-        pick = np.flatnonzero(small)
-        for config, x in solve_lp(lengths[small], counts[small].astype(float), capacity, steps):
-            config = {int(pick[k]): a for k, a in config.items()}
-            n = min([int(x + 1e-9), *(int(left[k]) // a for k, a in config.items())])
-            if n >= MIN_USE:
-                uses.append((config, n))
-                for k, a in config.items():
-                    left[k] -= a * n
-    uses += _best_fit(lengths, left, capacity)
+    uses = round_uses(solve_lp(lengths, counts.astype(float), capacity, steps), lengths, counts, capacity)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     ranks, sequence = np.zeros(len(lengths), np.int64), 0
     for config, n in uses:

@@ -79,3 +79,36 @@ def test_pricing_finds_the_best_configuration():
     best = max((a * .3 + b * .55 + c * .8, (a, b, c)) for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 17)
     got = packing._price(weights, lengths, np.array([9, 9, 9]), 17)
     assert sum(weights[k] * a for k, a in got.items()) == pytest.approx(best[0])
+
+
+def test_program_covers_every_length():
+    rng = random.Random(5)
+    lengths = np.array(sorted(rng.sample(range(1, 300), 120)))
+    counts = np.array([rng.randint(1, 400) for _ in lengths])
+    covered = np.zeros(len(lengths))
+    for config, x in packing.solve_lp(lengths, counts.astype(float), 300, 40):
+        assert sum(a * lengths[k] for k, a in config.items()) <= 300
+        for k, a in config.items():
+            covered[k] += a * x
+    assert np.allclose(covered, counts)
+
+
+def test_most_tokens_are_placed_by_the_program(monkeypatch):
+    rng = random.Random(6)
+    lengths = np.arange(1, 400)
+    counts = np.array([rng.randint(5, 60) for _ in lengths])
+    left_over = []
+    plain = packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda le, left, cap: left_over.append(int(left @ le)) or plain(le, left, cap))
+    layout = packing.plan(dict(zip(lengths.tolist(), counts.tolist())), 400, 100)
+    assert max(left_over) <= 0.4 * (counts @ lengths)
+    bound = max(-(-int(counts @ lengths) // 400), int(counts[lengths > 200].sum()))  # two of over half never share one
+    assert bound <= layout.n_sequences <= 1.01 * bound + 1
+
+
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+    path = packing.default_tokenizer_path().replace(packing.TOKENIZER_FILE, "byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.CachedEncoder(path).ids(ODD)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in ODD]
