@@ -64,12 +64,31 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def hash_place(key: str):
+    """A fixed place of a key in [0, 2**30), in which samples are drawn."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30))
+
+
+def hash_limit(bound: int, n: int) -> int:
+    """Places below this hold about half as many again as ``bound`` of ``n`` distinct keys."""
+    return int(min(1.0, 1.5 * bound / max(1, n) + 1e-6) * (1 << 30)) + 1
+
+
 def sample_by_hash(rows: DataFrame, key: str, bound: int, n: int) -> DataFrame:
-    """At most ``bound`` of ``n`` rows, those of the smallest hashes of ``key``; a threshold on the hash leaves about
-    half as many again to be sorted, however many rows and tasks there are."""
-    share = min(1.0, 1.5 * bound / max(1, n) + 1e-6)
-    near = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(bound)
+    """At most ``bound`` of about ``n`` distinct keys, those of the smallest hashes, one row each: a threshold on the hash leaves
+    about half as many again to be sorted, however many rows and tasks there are and however often a key repeats."""
+    near = rows.select(key).where(hash_place(key) < hash_limit(bound, n)).distinct()
+    return near.orderBy(hash_place(key), key).limit(bound)
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One text (the least, of several) per id of a bounded sample, with the sample's other columns.
+
+    The sample is broadcast, so no text is shuffled but those found; repetitions of an id are merged before and after.
+    """
+    other = [c for c in sample.columns if c != "id"]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .where(F.col("text").isNotNull()).join(F.broadcast(sample), "id").groupBy("id", *other).agg(F.min("text").alias("text"))
 
 
 def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -10,7 +10,7 @@ Only the weights (their size is fixed by ``FEATURES`` and the number of language
 to the executors; scoring is one pass without a shuffle.
 
 Defined cases: a NULL text, or one without any letter, is ``und`` with score 0. Rows of
-NULL language are not learned from. Without any learnable row every text is ``und``; with a
+NULL language are not learned from; of several texts or languages of an id the least is. Without any learnable row every text is ``und``; with a
 single language every text with a letter is that language. Repeated rows get equal results.
 Only id, text and, for learning, language are read. An empty table gives an empty result.
 """
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwise.llm.common import SpanHasher, fold_case, runs, text_chunks
+from shelfwise.llm.common import SpanHasher, fold_case, hash_limit, hash_place, runs, sampled_texts, text_chunks
 
-#: Bounds of the learning sample: rows of one language, and of all.
-ROWS_PER_LANGUAGE, ROWS_TOTAL = 800, 6000
+#: Bounds of the learning sample: rows of one language, and of all; languages, the most frequent ones.
+ROWS_PER_LANGUAGE, ROWS_TOTAL, MAX_LANGUAGES = 800, 6000, 100
 #: Sizes of the feature groups: single bytes, pairs, triples, words.
 SIZES = (256, 2048, 4096, 4096)
 FEATURES = sum(SIZES)
@@ -198,17 +198,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from rows of known language that are not held out: a bounded sample, by hash of the id."""
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("y")) \
         .where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
+    sizes = known.groupBy("y").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.col("n").desc(), "y").limit(MAX_LANGUAGES).collect()
+    if not sizes:
         return None
-    bound = min(ROWS_PER_LANGUAGE, max(1, ROWS_TOTAL // len(counts)))
+    bound = min(ROWS_PER_LANGUAGE, max(1, ROWS_TOTAL // len(sizes)))
     # A threshold on the hash per language leaves about half as many again as are wanted, however many rows there are.
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items())
-                           for v in (lang, int(min(1.0, 1.5 * bound / n + 1e-6) * (1 << 30)) + 1)])
-    order = Window.partitionBy("y").orderBy(place, "id")
-    sample = known.where(place < limit[F.col("y")]).withColumn("r", F.row_number().over(order)) \
-        .where(F.col("r") <= bound).select("id", "y")
+    limits = known.sparkSession.createDataFrame([(r["y"], hash_limit(bound, r["n"])) for r in sizes], "y string, below long")
+    near = known.join(F.broadcast(limits), "y").where(hash_place("id") < F.col("below")).groupBy("id").agg(F.min("y").alias("y"))
+    order = Window.partitionBy("y").orderBy(hash_place("id"), "id")
+    sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= bound).select("id", "y")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,11 +219,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()),
                                               pa.array(value, pa.binary())], names=["id", "y", "at", "value"])
 
-    # At most ROWS_TOTAL rows of an id and a code: the join needs no shuffle of texts.
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .where(F.col("text").isNotNull()).join(F.broadcast(sample), "id").select("id", "y", "text") \
-        .mapInArrow(sparse, "id long, y string, at binary, value binary").toPandas() \
-        .drop_duplicates("id").sort_values("id")
+    found = sampled_texts(docs, sample, id_col, text_col).select("id", "y", "text") \
+        .mapInArrow(sparse, "id long, y string, at binary, value binary").toPandas().sort_values("id")
     x = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64))
          for a, v in zip(found["at"], found["value"])]
     return train(x, found["y"].tolist())

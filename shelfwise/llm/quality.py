@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SpanHasher, fold_case, materialize, runs, sample_by_hash, ship, text_chunks
+from shelfwise.llm.common import SpanHasher, fold_case, materialize, runs, sample_by_hash, sampled_texts, ship, text_chunks
 from shelfwise.llm.toxicity import FUNCTION_WORDS, _word_hashes
 
 LABELLERS = ("signs", "capitals", "repeats", "function words", "variety", "word length", "lone signs", "sign runs")
@@ -204,17 +204,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     if len(counts) == 0:
         return None
     labels = LabelModel(counts["code"].to_numpy(), counts["n"].to_numpy())
-    sample = sample_by_hash(seen.where(F.col("doc_id").isNotNull()).select("doc_id", "code"), "doc_id", TRAIN_ROWS, int(counts["n"].sum()))
+    known = seen.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"))
+    n_ids = known.agg(F.approx_count_distinct("id")).first()[0]
+    sample = sample_by_hash(known, "id", TRAIN_ROWS, n_ids)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype("<f4").tobytes() for _, _, offsets, data in text_chunks(batch.column(2), CHUNK, CHUNK_ROWS) for r in features(offsets, data)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "code", "x"])
+            codes, rows = [], []
+            for _, _, offsets, data in text_chunks(batch.column(1), CHUNK, CHUNK_ROWS):
+                m = measures(offsets, data)
+                codes += _codes(votes(m)).tolist()
+                rows += [r.astype("<f4").tobytes() for r in features(offsets, data, m)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "code", "x"])
 
-    # At most TRAIN_ROWS rows of two numbers: the join needs no shuffle of texts.
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .join(F.broadcast(sample), "doc_id").select("doc_id", "code", "text") \
-        .mapInArrow(describe, "doc_id long, code long, x binary").toPandas().drop_duplicates(["doc_id", "code"]).sort_values("doc_id")
+    found = sampled_texts(docs, sample, id_col, text_col).select("id", "text") \
+        .mapInArrow(describe, "doc_id long, code long, x binary").toPandas().sort_values("doc_id")
     if len(found) == 0:
         return Model(labels, np.zeros(FEATURES))
     x = np.frombuffer(b"".join(found["x"]), "<f4").reshape(len(found), -1)

@@ -12,7 +12,8 @@ The model (about 2 MB, fixed by its parameters) is the only thing that travels t
 executors. Scoring is one pass over the texts without a shuffle.
 
 Defined cases: a NULL or empty text, or one without words, has score 0. Repeated rows get equal scores. Only id and text are read; labels
-whose ``toxic`` is NULL are not learned from; without any usable label of both kinds every
+whose ``toxic`` is NULL are not learned from, an id with both labels counts as toxic, and of several texts of an id
+the least is learned from; without any usable label of both kinds every
 score is 0. An empty table gives an empty result.
 """
 
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from shelfwise.llm.common import SpanHasher, fold_case, mix64, runs, sample_by_hash, text_chunks
+from shelfwise.llm.common import SpanHasher, fold_case, hash_place, mix64, runs, sample_by_hash, sampled_texts, text_chunks
 
 DECISION = 0.7
-#: Bounds of the labelled sample: rows of each label, and characters of a text that may be learned from.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_MAX_CHARS = 2000, 3000, 12_000
+#: Bounds of the labelled sample: rows of each label, and characters of a label's texts together (whole texts, of any length).
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 12_000_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 #: Bytes of the leading parts that share an embedding.
 STEMS = (4, 5, 6)
@@ -243,17 +245,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the labelled rows that are not held out; None when a label is missing altogether."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))) \
         .select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.approx_count_distinct("id").alias("n")).collect()}
     if len(counts) < 2:
         return None
     sample = None
     for toxic, bound in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        part = sample_by_hash(usable.where(F.col("y") == toxic), "id", bound, counts[toxic])
+        part = sample_by_hash(usable.where(F.col("y") == toxic), "id", bound, counts[toxic]).withColumn("y", F.lit(toxic))
         sample = part if sample is None else sample.unionAll(part)
-    # At most TRAIN_TOXIC + TRAIN_CLEAN rows of two numbers: the join needs no shuffle of texts.
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .where(F.length("text") <= TRAIN_MAX_CHARS).join(F.broadcast(sample), "id") \
-        .select("id", "y", "text").toPandas().drop_duplicates("id").sort_values("id")
+    sample = sample.groupBy("id").agg(F.max("y").alias("y"))
+    # In the order of the hash, whatever the texts' lengths, until a label's characters are used up.
+    so_far = Window.partitionBy("y").orderBy(hash_place("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    found = sampled_texts(docs, sample, id_col, text_col) \
+        .withColumn("before", F.coalesce(F.sum(F.length("text")).over(so_far), F.lit(0))).where(F.col("before") < TRAIN_CHARS) \
+        .select("id", "y", "text").toPandas().sort_values("id")
     y = found["y"].to_numpy(np.float64)
     if len(found) == 0 or y.min() == y.max():
         return None
