@@ -16,6 +16,7 @@ from shelfwise.functions import expressions as X
 from shelfwise.functions.filters import Filters, equals_unless_all, where_all
 from shelfwise.session import scratch_path
 from shelfwise.sources.catalog import RetailTables
+from shelfwise.sources.sale_lines import in_range as sale_lines_in_range
 
 
 # ---------------------------------------------------------------------------
@@ -44,9 +45,23 @@ def products_in_scope(t: RetailTables, f: Filters, *cols: str) -> DataFrame:
 def transactions_in_scope(t: RetailTables, f: Filters, keep, *cols: str) -> DataFrame:
     """Transactions that pass the date condition and belong to a warehouse in scope, before any join of facts."""
     tx = t.salestransaction.where(F.col("warehouseid").isNotNull() & keep).select("transactionid", "warehouseid", *cols)
-    if f.by_region or f.by_warehouse:
-        tx = tx.join(warehouses_in_scope(t, f), "warehouseid", "left_semi")
-    return tx
+    return _of_warehouses_in_scope(t, f, tx)
+
+
+def _of_warehouses_in_scope(t: RetailTables, f: Filters, rows: DataFrame) -> DataFrame:
+    return rows.join(warehouses_in_scope(t, f), "warehouseid", "left_semi") if f.by_region or f.by_warehouse else rows
+
+
+def lines_in_scope(t: RetailTables, f: Filters, *cols: str) -> DataFrame:
+    """Sale lines of in-scope transactions that have a date in the range, with ``transactionid`` and ``warehouseid``.
+
+    Lines stored with their date are read by the range alone; otherwise items meet the transactions that are left.
+    """
+    if t.sale_lines is not None:
+        lines = t.sale_lines.where(F.col("warehouseid").isNotNull() & sale_lines_in_range(f))
+        return _of_warehouses_in_scope(t, f, lines.select("transactionid", "warehouseid", *cols))
+    items = t.salestransactionitem.select("transactionid", *cols)
+    return items.join(transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate"))), "transactionid")
 
 
 def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str) -> DataFrame:
@@ -67,13 +82,13 @@ def sold_items(t: RetailTables, f: Filters, cat_cols: tuple, wh_cols: tuple) ->
     """Items of in-scope transactions, with their category and warehouse attributes.
 
     The facts meet first, on ``transactionid``: date, region and warehouse have cut the
-    transactions before, and tables stored in buckets of that key need no exchange.
+    transactions before, and tables stored in buckets of that key need no exchange. Lines stored
+    with their date need no such join.
     Product, category and warehouse follow on the rows that are left. The inner
     joins drop transactions with a NULL or unknown warehouse and items whose category
     is unknown; the date test drops NULL dates even when the range is open.
     """
-    items = t.salestransactionitem.select("transactionid", "productid", "quantity", "subtotal")
-    sold = items.join(transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate"))), "transactionid")
+    sold = lines_in_scope(t, f, "productid", "quantity", "subtotal")
     return with_category(t, f, sold, *cat_cols).join(warehouses_in_scope(t, f, *wh_cols), "warehouseid")
 
 
@@ -235,9 +250,9 @@ def _promotion_groups(rows: DataFrame) -> DataFrame:
     return out.orderBy(F.col("stockquantity").desc_nulls_first())
 
 
-def items_in_scope(t: RetailTables, f: Filters, *cols: str) -> DataFrame:
+def items_in_scope(t: RetailTables, f: Filters) -> DataFrame:
     """Items, with a category filter only those of its products."""
-    items = t.salestransactionitem.select("productid", "quantity", *cols)
+    items = t.salestransactionitem.select("productid", "quantity")
     return items.join(products_in_scope(t, f).select("productid"), "productid", "left_semi") if f.by_category else items
 
 
@@ -264,9 +279,10 @@ def promotion_candidates(t: RetailTables, f: Filters = Filters()) -> DataFrame:
 
 def promotion_candidates_scoped(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """O5 with units counted in the inventory row's own warehouse and the date range."""
-    tx = transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate")))
-    units = items_in_scope(t, f, "transactionid").join(tx, "transactionid") \
-        .groupBy("warehouseid", "productid").agg(F.sum("quantity").alias("units"))
+    sold = lines_in_scope(t, f, "productid", "quantity")
+    if f.by_category:
+        sold = sold.join(products_in_scope(t, f).select("productid"), "productid", "left_semi")
+    units = sold.groupBy("warehouseid", "productid").agg(F.sum("quantity").alias("units"))
     rows = _inventory_for_promotion(t, f).join(units, ["warehouseid", "productid"], "left")
     return _promotion_groups(rows)
 

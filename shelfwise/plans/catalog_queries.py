@@ -7,6 +7,7 @@ from shelfwise.operators.rollup import arriving_sales
 from shelfwise.plans import oracle as O
 from shelfwise.plans.registry import CATEGORY_ONLY, NARROW, OPEN, THREE_DAYS, register, register_raw
 from shelfwise.sources.catalog import respelled_details
+from shelfwise.sources.sale_lines import scratch_sale_lines
 
 # -- O1 .. O5b: business reports ----------------------------------------------
 register("category_revenue", lambda t: R.category_revenue(t, OPEN), O.with_tables(O.category_revenue(OPEN)))
@@ -119,6 +120,14 @@ register("rollup_warehouse_performance_category", lambda t: arriving_sales(t).wa
 register("rollup_warehouse_category", lambda t: arriving_sales(t).warehouse_category(CATEGORY_ONLY),
          O.with_tables(O.warehouse_category(CATEGORY_ONLY)))
 
+# -- O1, O4, O5b from lines stored by date ---------------------------------------
+register("dated_category_revenue", lambda t: R.category_revenue(scratch_sale_lines(t), THREE_DAYS), O.with_tables(O.category_revenue(THREE_DAYS)))
+register("dated_category_revenue_filtered", lambda t: R.category_revenue(scratch_sale_lines(t), NARROW), O.with_tables(O.category_revenue(NARROW)))
+register("dated_warehouse_category", lambda t: R.warehouse_category(scratch_sale_lines(t), CATEGORY_ONLY),
+         O.with_tables(O.warehouse_category(CATEGORY_ONLY)))
+register("dated_promotion_candidates_scoped", lambda t: R.promotion_candidates_scoped(scratch_sale_lines(t), NARROW),
+         O.with_tables(O.promotion_candidates_scoped(NARROW)))
+
 # -- X: streams ---------------------------------------------------------------
 from shelfwise.streaming.daily_sales import stream_daily_sales, stream_daily_sales_arriving  # noqa: E402
 from shelfwise.streaming.stock_alerts import stream_stock_alert_feed, stream_stock_alerts  # noqa: E402

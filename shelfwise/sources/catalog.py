@@ -23,6 +23,9 @@ class RetailTables:
     inventory: DataFrame
     salestransaction: DataFrame
     salestransactionitem: DataFrame
+    #: Sale lines with their transaction's date and warehouse (``sources.sale_lines``), where they are stored. Whoever replaces
+    #: one of the two fact tables replaces these as well, or sets them to None.
+    sale_lines: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
