@@ -91,6 +91,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op5_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             u AS MATERIALIZED (SELECT k, vec_id, e, len(e) AS n FROM v
+                   WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+             l AS MATERIALIZED (SELECT a.k AS a, b.k AS b, b.vec_id AS id FROM u a JOIN u b ON a.n = b.n AND a.k <> b.k
+                                WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+             r(k, id) AS (SELECT k, vec_id FROM v WHERE vec_id IS NOT NULL
+                          UNION SELECT l.a, r.id FROM r JOIN l ON l.b = r.k),
+             c AS (SELECT k, min(id) AS component_id FROM r GROUP BY k),
+             n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY a)
+        SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v LEFT JOIN n USING (k) LEFT JOIN c USING (k)
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
              d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -100,6 +114,32 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
         FROM d LEFT JOIN f ON d.payload_bytes >= 100 AND f.payload_digest = d.payload_digest
     """,
+    "op9_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^ \t\n\x0B\x0C\r]+') AS words FROM documents),
+             x AS (SELECT k, len(words) AS size, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM w),
+             y AS (SELECT k, size, i, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5
+                   FROM x WINDOW o AS (PARTITION BY k ORDER BY i)),
+             z AS (SELECT k, list_sort(list(DISTINCT hash(concat_ws(' ', w1, w2, w3, w4, w5)))) AS shingles FROM y
+                   WHERE w5 IS NOT NULL OR (size < 5 AND i = 1) GROUP BY k),
+             s AS MATERIALIZED (SELECT w.k, w.doc_id, coalesce(z.shingles, []) AS shingles FROM w LEFT JOIN z USING (k)),
+             g AS MATERIALIZED (SELECT row_number() OVER () AS g, min(doc_id) AS id, shingles, CAST(len(shingles) AS BIGINT) AS n
+                                FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+             t AS MATERIALIZED (SELECT g, n, unnest(shingles) AS shingle FROM g),
+             f AS (SELECT shingle, count(*) AS df FROM t GROUP BY shingle),
+             o AS (SELECT t.*, row_number() OVER (PARTITION BY g ORDER BY df, shingle) AS place FROM t JOIN f USING (shingle)),
+             p AS MATERIALIZED (SELECT g, n, shingle FROM o WHERE place <= n - (75 * n + 99) // 100 + 1),
+             h AS (SELECT DISTINCT a.g AS a, b.g AS b FROM p a JOIN p b ON a.shingle = b.shingle AND a.g < b.g
+                   AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+             l AS (SELECT h.a, h.b FROM h JOIN g x ON x.g = h.a JOIN g y ON y.g = h.b,
+                   LATERAL (SELECT len(list_intersect(x.shingles, y.shingles)) AS shared) WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+             e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r(g, id) AS (SELECT g, id FROM g WHERE id IS NOT NULL UNION SELECT e.b, r.id FROM r JOIN e ON e.a = r.g),
+             c AS (SELECT g, min(id) AS component_id FROM r GROUP BY g)
+        SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+        FROM s LEFT JOIN g ON g.shingles = s.shingles LEFT JOIN c USING (g)
+    """,
     "op11_conversation_prefix_trie": """
         WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
