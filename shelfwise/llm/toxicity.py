@@ -123,7 +123,7 @@ class Model:
     def logits(self, words: Words) -> np.ndarray:
         n_rows = len(words.first) - 1
         lead = max(WIDTHS) - 1
-        pooled = np.zeros((n_rows, len(self.bias)), np.float32) + np.maximum(self.bias, 0.0)
+        pooled = np.zeros((n_rows, len(self.bias)), np.float32)
         padded, starts = _pad(words, self.buckets)
         row_of = np.repeat(np.arange(n_rows), np.diff(starts))
         for a in range(0, len(row_of), BLOCK_WORDS):
