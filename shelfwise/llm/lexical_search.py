@@ -171,7 +171,9 @@ def _centroids(forward: DataFrame, w: np.ndarray, n_docs: int, n_terms: int) ->
     """Unit vectors of a bounded sample of documents, as columns."""
     keyed = forward.where(F.length("terms") > 0).withColumn("key", F.xxhash64("doc_id", "terms", "tf"))
     most = min(CENTROIDS, max(1, n_docs // PIECE))
-    lead = sample_by_hash(keyed, "key", most, n_docs).select("n", "terms", "tf").toArrow()
+    sample = sample_by_hash(keyed, "key", most, n_docs)  # keys alone; repeated rows are merged before and after
+    rows = keyed.join(F.broadcast(sample), "key").groupBy("key").agg(F.min(F.struct("n", "terms", "tf")).alias("row"))
+    lead = rows.orderBy("key").select("row.*").toArrow()
     out = np.zeros((len(w), max(1, len(lead))), np.float32)
     for k, (n, terms, tf) in enumerate(zip(*(lead.column(c).to_pylist() for c in ("n", "terms", "tf")))):
         term, tf = np.frombuffer(terms, "<i4"), np.frombuffer(tf, "<i4").astype(np.int64)

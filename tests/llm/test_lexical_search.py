@@ -79,6 +79,17 @@ def test_empty_tables(spark, make_docs, make_items):
     assert lexical_search.rank_documents(make_docs([(1, None)]), make_items(ITEMS)).count() == 0
 
 
+def test_centroids_are_distinct_rows(spark, make_docs):
+    """A row that repeats gives one centroid, each of them with its terms."""
+    docs = [(k, f"w{k % 40} w{k % 7}") for k in range(1500)] + [(3, "w3 w3")] * 600
+    queries = lexical_search.Queries([" ".join(f"w{k}" for k in range(40))])
+    forward = lexical_search.forward_rows(make_docs(docs), queries)
+    w = lexical_search.np.ones(40, lexical_search.np.int64)
+    got = lexical_search._centroids(forward, w, len(docs), 2 * len(docs))
+    assert got.shape == (40, len(docs) // lexical_search.PIECE)
+    assert lexical_search.np.allclose((got ** 2).sum(0), 1)
+
+
 def test_summaries_bound_every_document_and_blocks_are_skipped():
     """A block's bound is no less than any of its documents' scores, and some blocks are not opened."""
     rnd = random.Random(1)
