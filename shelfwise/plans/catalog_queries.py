@@ -79,7 +79,7 @@ register("chart_warehouse_revenue", lambda t: C.chart_warehouse_revenue(R.wareho
          O.chart_warehouse_revenue(O.warehouse_performance(OPEN)))
 register("stock_vs_reorder", lambda t: C.stock_vs_reorder(R.low_inventory(t, OPEN)),
          O.stock_vs_reorder(O.low_inventory(OPEN)))
-register("chart_stock_vs_reorder", lambda t: C.chart_stock_vs_reorder(R.low_inventory(t, OPEN)),
+register("chart_stock_vs_reorder", lambda t: C.chart_stock_vs_reorder(R.low_inventory(t, OPEN, ordered=False)),
          O.chart_stock_vs_reorder(O.low_inventory(OPEN)))
 register("chart_warehouse_category", lambda t: C.chart_warehouse_category(R.warehouse_category(t, OPEN)),
          O.chart_warehouse_category(O.warehouse_category(OPEN)))

@@ -106,3 +106,7 @@ def test_positions_are_numbered_by_range(spark):
         assert "windowspecdefinition(_range" in plan_text(got, "extended")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_summed_chart_does_not_sort_its_rows(small_tables):
+    assert "rangepartitioning" not in plan_text(named_queries()["chart_stock_vs_reorder"].run(small_tables), "simple")
