@@ -294,29 +294,34 @@ def promotion_candidates_scoped(t: RetailTables, f: Filters = Filters()) -> Data
 def positions(rows: DataFrame, group: str, keys: list[Column], name: str = "position") -> DataFrame:
     """Each row's place in the list of its ``group``, by a sort that is dealt over ranges and not over groups.
 
-    Rows are range-partitioned by group and keys and written with their range's number. A group's rows in one range are numbered
-    alone; what lower ranges hold of the group is added, from counts of which there are at most ranges plus groups.
-    So a group that holds a third of all rows fills a third of the ranges.
+    Rows are range-partitioned by group and keys, sorted in their range and written with their place in it. A group's rows in one
+    range stand side by side, behind those of the groups before it there; what lower ranges hold of the group is added. Both come
+    from counts of which there are at most ranges plus groups. So a group that holds a third of all rows fills a third of the
+    ranges, and rows are shuffled and sorted once.
     """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "positions")
     by = [F.col(group).asc_nulls_first(), *keys]
-    rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
-    counts = dealt.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
-    lower = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_group", "_of", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*keys))
-    numbered = dealt.withColumn("_own", own)
-    return numbered.join(before, (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group"))) \
-        .select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))
+    # the range's number, above 33 bits of the place in it
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType())])).parquet(path)
+    of_range = F.shiftright("_at", 33)
+    counts = dealt.groupBy(F.col(group).alias("_group"), of_range.alias("_range")).agg(F.count("*").alias("_n"))
+    lower = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("_range").orderBy(F.col("_group").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(lower), F.lit(0)) - F.coalesce(F.sum("_n").over(ahead), F.lit(0))
+    before = counts.select("_group", "_range", shift.alias("_shift"))
+    place = F.col("_at") - F.shiftleft("_range", 33) + F.col("_shift") + 1
+    return dealt.join(F.broadcast(before), (of_range == F.col("_range")) & F.col(group).eqNullSafe(F.col("_group"))) \
+        .select(*rows.columns, place.cast("int").alias(name))
 
 
 def low_inventory_ordered(t: RetailTables, f: Filters = Filters()) -> DataFrame:
     """The low-stock list with each row's position in its warehouse's list, ties broken by all columns."""
-    rows = low_inventory(t, f, ordered=False)
+    rows = low_inventory(t, f, ordered=False).drop("inventory_status")  # derived again behind the sort, which need not carry it
     order = [X.urgency(F.col("stockquantity"), F.col("reorderlevel")), F.col("leadtimedays").desc_nulls_last()]
     ties = [F.col(c).asc_nulls_last() for c in ("product_name", "supplier_name", "stockquantity", "reorderlevel")]
-    return positions(rows, "warehouse_name", order + ties)
+    placed = positions(rows, "warehouse_name", order + ties)
+    return placed.select(*rows.columns, X.inventory_status(F.col("stockquantity"), F.col("reorderlevel")).alias("inventory_status"), "position")
 
 
 def warehouse_category_bottom(t: RetailTables, f: Filters = Filters(), n: int = 10) -> DataFrame:

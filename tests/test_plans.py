@@ -110,3 +110,15 @@ def test_positions_are_numbered_by_range(spark):
 
 def test_summed_chart_does_not_sort_its_rows(small_tables):
     assert "rangepartitioning" not in plan_text(named_queries()["chart_stock_vs_reorder"].run(small_tables), "simple")
+
+
+def test_positions_shuffle_their_rows_once(spark):
+    """Behind the ranges only counts are shuffled: no rows go to a window."""
+    rows = spark.range(3000).selectExpr("id % 7 AS v", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('g', id % 40) END AS g", "id")
+    keys = [F.col("v").asc_nulls_last(), F.col("id").desc_nulls_last()]
+    got = R.positions(rows, "g", keys)
+    want = rows.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(*keys)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    text = plan_text(got, "simple")
+    assert "row_number" not in text
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
