@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from shelfwise.functions import expressions as X
 from shelfwise.functions.filters import Filters, equals_unless_all, where_all
-from shelfwise.session import scratch_path
-from shelfwise.sources.catalog import RetailTables
+from shelfwise.session import dealt, scratch_path
+from shelfwise.sources.catalog import FACT_BUCKET_KEY, RetailTables
 from shelfwise.sources.sale_lines import in_range as sale_lines_in_range
 
 
@@ -61,7 +61,15 @@ def lines_in_scope(t: RetailTables, f: Filters, *cols: str) -> DataFrame:
         lines = t.sale_lines.where(F.col("warehouseid").isNotNull() & sale_lines_in_range(f))
         return _of_warehouses_in_scope(t, f, lines.select("transactionid", "warehouseid", *cols))
     items = t.salestransactionitem.select("transactionid", *cols)
-    return items.join(transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate"))), "transactionid")
+    return join_facts(t, items, transactions_in_scope(t, f, f.date_in_range(F.col("transactiondate"))))
+
+
+def join_facts(t: RetailTables, items: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Items with their transactions. Both are dealt by the number of items first, unless they are stored in buckets of the key."""
+    if t.facts_bucketed:
+        return items.join(transactions, FACT_BUCKET_KEY)
+    n = t.salestransactionitem.count()
+    return dealt(items, n, FACT_BUCKET_KEY).join(dealt(transactions, n, FACT_BUCKET_KEY), FACT_BUCKET_KEY)
 
 
 def with_category(t: RetailTables, f: Filters, rows: DataFrame, *cat_cols: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from shelfwise.functions import expressions as X
 from shelfwise.functions.filters import Filters, equals_unless_all, where_all
-from shelfwise.operators.reports import ranked_warehouses, warehouses_in_scope, with_category
+from shelfwise.operators.reports import join_facts, ranked_warehouses, warehouses_in_scope, with_category
 from shelfwise.session import scratch_path
 from shelfwise.sources.catalog import RetailTables
 from shelfwise.streaming.sources import Sums
@@ -46,7 +46,7 @@ def category_day(t: RetailTables) -> DataFrame:
     tx = t.salestransaction.where("warehouseid IS NOT NULL").select(
         "transactionid", "warehouseid", F.col("transactiondate").cast("date").alias("day"), X.cents(F.col("totalamount")).alias("receipt"))
     items = t.salestransactionitem.select("transactionid", "productid", "quantity", "subtotal")
-    sold = with_category(t, Filters(), items.join(tx, "transactionid"), "category_name", "department_code")
+    sold = with_category(t, Filters(), join_facts(t, items, tx), "category_name", "department_code")
     per_receipt = sold.groupBy("transactionid", *CATEGORY_KEYS, "receipt").agg(
         F.sum(X.cents(F.col("subtotal"))).alias("cents"), F.sum("quantity").alias("units"))
     of_name = Window.partitionBy("transactionid", "category_name").orderBy("department_code")

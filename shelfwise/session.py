@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; every one of them is a plain Spark option.
 SCALE_DEFAULTS = {
@@ -73,3 +73,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one job's output."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+#: Rows of a fact table that one task of a join is planned for.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n_rows: int, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` into as many partitions as ``n_rows`` rows need, so that a task's share does not grow with the input.
+
+    Runtime re-planning merges shuffle partitions up to a number of compressed bytes, which may hold many millions of narrow rows.
+    Small inputs stay as they are.
+    """
+    tasks = n_rows // TASK_ROWS
+    return rows if tasks < 2 else rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), key)

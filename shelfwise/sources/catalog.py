@@ -26,6 +26,8 @@ class RetailTables:
     #: Sale lines with their transaction's date and warehouse (``sources.sale_lines``), where they are stored. Whoever replaces
     #: one of the two fact tables replaces these as well, or sets them to None.
     sale_lines: DataFrame | None = None
+    #: Whether both fact tables are stored in buckets of ``transactionid``.
+    facts_bucketed: bool = False
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
@@ -128,7 +130,7 @@ def store_tables(tables: RetailTables, root: str, files_per_table: int | None =
     if not bucketed:
         return stored
     frames = {name: bucketed.get(name, stored.table(name)) for name in TABLE_NAMES}
-    return RetailTables(spark=spark, **frames)
+    return RetailTables(spark=spark, facts_bucketed=True, **frames)
 
 
 __all__ = ["RetailTables", "load_driver_tables", "load_stored_tables", "store_tables"]

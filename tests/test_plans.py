@@ -122,3 +122,20 @@ def test_positions_shuffle_their_rows_once(spark):
     text = plan_text(got, "simple")
     assert "row_number" not in text
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_facts_are_dealt_by_their_rows(small_tables, spark, monkeypatch):
+    """A join of facts plans tasks by the number of items, more than the session has shuffle partitions; the rows are the same."""
+    from shelfwise import session
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(map(tuple, R.warehouse_category(small_tables, Filters()).collect()))
+        monkeypatch.setattr(session, "TASK_ROWS", 50)
+        tasks = small_tables.salestransactionitem.count() // 50
+        assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        got = R.warehouse_category(small_tables, Filters())
+        assert plan_text(got, "simple").count(f", {tasks}), REPARTITION_BY_NUM") == 2
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
