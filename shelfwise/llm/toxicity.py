@@ -133,7 +133,8 @@ class Model:
             edge = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
             top = np.maximum.reduceat(y, edge, axis=0)
             pooled[rows[edge]] = np.maximum(pooled[rows[edge]], top)
-        return pooled @ self.out + self.out_bias
+        # summed row by row: a matrix product may round a row differently by the number of rows beside it
+        return (pooled * self.out).sum(axis=1) + self.out_bias
 
     def score(self, words: Words) -> np.ndarray:
         general = self.thresholds.get(-1, 0.0)
