@@ -196,10 +196,10 @@ class CachedEncoder:
         known = missing.intersection(old)
         young.update((w, old[w]) for w in known)
         young.update(self._learn(list(missing - known)))
+        if len(young) >= self.limit:  # before the ids: a caller may leave after the last of them
+            self.old, self.young = young, {}
         for words in split:
             yield b"".join(map(young.__getitem__, words))
-        if len(young) >= self.limit:
-            self.old, self.young = young, {}
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}

@@ -112,3 +112,15 @@ def test_another_tokenizer_gets_whole_texts():
     whole = Tokenizer.from_file(path)
     got = [np.frombuffer(b, "<u4").tolist() for b in packing.CachedEncoder(path).ids(ODD)]
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in ODD]
+
+
+def test_word_cache_stays_bounded_when_the_reader_leaves_first(tokenizer):
+    """Readers that pair texts with ids leave after the last text's ids, as ``pieces`` does."""
+    limit, letters = 60, "abcdefghijklmnopqrstuvwxyz"
+    enc = packing.CachedEncoder(packing.default_tokenizer_path(), cache_words=limit)
+    words = [a + b + c for a in letters for b in letters for c in "xyz"]
+    for lo in range(0, len(words), 20):
+        texts = [" ".join(words[lo:lo + 10]), " ".join(words[lo + 10:lo + 20]), words[0]]
+        got = [np.frombuffer(ids, "<u4").tolist() for _, ids in zip(range(len(texts)), enc.ids(texts))]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.young) < limit and len(enc.old) < limit + 22
