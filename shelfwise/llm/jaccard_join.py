@@ -18,8 +18,8 @@ tokens of two sets that link share at least ``l`` tokens.
 3. *What is left: sets that consist of frequent tokens, such as members of large groups of near
    copies.* Their prefixes fall into classes of tokens by hash, and every combination of two
    tokens of one class is a key; by the pigeonhole principle two linked sets share a key.
-   Holders of a key are compared with one pivot first; afterwards only holders of the key
-   that are still in different components are compared.
+   Holders of a key are compared with one pivot first. Holders of a key that are still in different components fall into one
+   neighbourhood afterwards, and the sets of a neighbourhood are compared block by block, in matrices of shared tokens.
 
 Candidates that cannot reach the threshold by their counts of shared rare tokens are pruned, each rule
 being exact. Survivors are verified on the whole sets: first one partner of each class, then
@@ -27,7 +27,8 @@ only pairs that are not connected yet. A link inside a component changes nothing
 components are those of all links.
 
 No step emits all pairs of a group of copies, and no token's list is held beyond ``RARE``
-entries per task that indexes it: a task that sees more sends a mark instead. Tokens are
+entries per task that indexes it: a task that sees more sends a mark instead. A bucket emits lists of holders, not their pairs;
+equal lists of all buckets (a passage has one for each of its tokens) are made into pairs once. Tokens are
 64-bit hashes of shingles; sets are compared by them.
 
 Defined cases: NULL, empty and white-space-only texts have no shingles, link with nothing and are
@@ -40,13 +41,14 @@ columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SpanHasher, components, materialize, mix64, runs, text_chunks
+from shelfwise.llm.common import SpanHasher, components, give_back, materialize, mix64, runs, text_chunks
 
 WORDS, PERCENT = 5, 75
 #: First tokens by which classes meet before anything is indexed, and parts that a frequent one is dealt into.
@@ -55,6 +57,10 @@ LEADING, SALT = 4, 8
 RARE = 32
 #: Postings that one task gathers before it sends them, and that one bucket is planned to hold.
 FLUSH, BUCKET = 600_000, 600_000
+#: Tokens of the sets of one block, and what a set counts besides its tokens; a block is compared with one other at a time.
+BLOCK, SET_COST = 1_000_000, 256
+#: Bytes of an Arrow batch: rows carry whole sets, and two workers stand beside an executor's heap.
+BATCH = 2 << 20
 _ORDER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,7 +121,8 @@ def extension(n):
 # ---------------------------------------------------------------- index
 
 _INDEX = "bucket int, token binary, class binary, size binary, heavy binary, times binary, member binary, component binary"
-_FOUND = "kind int, a long, b long, na int, nb int, n long"
+_FOUND = "kind int, a long, n long, holders binary"
+_PAIRS = "a long, b long, na int, nb int, n long"
 PAIR, HEAVY, STAR = 0, 1, 2
 
 
@@ -173,34 +180,43 @@ class _Gather:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            yield _index_rows(*(np.concatenate(c) for c in zip(*self.parts)), self.buckets, self.limit)
+            parts, self.parts = self.parts, []
+            yield _index_rows(*(np.concatenate(c) for c in zip(*parts)), self.buckets, self.limit)
+            give_back()
         self.parts, self.held = [], 0
 
 
+def _lean(step):
+    """The step over one bucket, after which the worker gives back what the bucket took."""
+    def run(table: pa.Table) -> pa.Table:
+        give_back()
+        out = step(table)
+        give_back()
+        return out
+
+    run.__name__ = step.__name__
+    return run
+
+
 def _concat(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
 
-def _pairs_of_lists(cls: np.ndarray, size: np.ndarray, component: np.ndarray, edge: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs within each list (at most ``RARE`` long) that are not connected and whose sizes allow a link."""
+def _pairs_of_lists(cls: np.ndarray, size: np.ndarray, component: np.ndarray, edge: np.ndarray, count: np.ndarray,
+                    times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs within each list (at most ``RARE`` long) that are not connected and whose sizes allow a link; ``times`` is how many
+    tokens have the list."""
     for c in np.unique(count[count > 1]):
         i, j = np.triu_indices(int(c), 1)
-        lists = edge[count == c]
-        for lo in range(0, len(lists), max(1, 400_000 // len(i))):
-            at = lists[lo:lo + max(1, 400_000 // len(i)), None]
-            x, y = (at + i).ravel(), (at + j).ravel()
+        lists = np.flatnonzero(count == c)
+        for lo in range(0, len(lists), max(1, 100_000 // len(i))):
+            here = lists[lo:lo + max(1, 100_000 // len(i)), None]
+            x, y = (edge[here] + i).ravel(), (edge[here] + j).ravel()
             ok = (component[x] != component[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
-            yield cls[x[ok]], cls[y[ok]], size[x[ok]], size[y[ok]]
-
+            yield cls[x[ok]], cls[y[ok]], size[x[ok]], size[y[ok]], np.repeat(times[here], len(i))[ok]
 
-def _found(kind: int, a, b, na, nb, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(na.astype(np.int32)),
-         pa.array(nb.astype(np.int32)), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "na", "nb", "n"])
 
-
-def _unique_pairs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    a, b, na, nb, n = (np.concatenate(c) for c in zip(*parts))
+def _unique_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((b, a))
     a, b, na, nb, n = a[order], b[order], na[order], nb[order], n[order]
     edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -219,8 +235,13 @@ def _component_of(cls: np.ndarray, member: np.ndarray, component: np.ndarray) ->
     return out
 
 
+def _found(kind: int, a: np.ndarray, n: np.ndarray, holders: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n), pa.array(holders, pa.binary())],
+                                      names=["kind", "a", "n", "holders"])
+
+
 def _match(table: pa.Table) -> pa.Table:
-    """One bucket: candidates of its rare tokens with the number of tokens shared, and counts of frequent tokens."""
+    """One bucket: the holders of its rare tokens, equal lists once with the number of their tokens, and counts of frequent tokens."""
     token, cls = _concat(table, "token", np.uint64), _concat(table, "class", np.int64)
     size = _concat(table, "size", "<i4").astype(np.int64)
     heavy, times = [_concat(table, "heavy", np.int64)], [_concat(table, "times", "<i8")]
@@ -246,23 +267,33 @@ def _match(table: pa.Table) -> pa.Table:
         component = _component_of(cls, _concat(table, "member", np.int64), _concat(table, "component", np.int64))
         # a list whose holders are all connected needs no pairs
         open_ = ~frequent & (np.minimum.reduceat(component, edge) != np.maximum.reduceat(component, edge))
-        parts, held = [], 0
-        for a, b, na, nb in _pairs_of_lists(cls, size, component, edge[open_], count[open_]):
-            parts.append((a, b, na, nb, np.ones(len(a), np.int64)))
-            held += len(a)
-            if held > 3_000_000:
-                parts = [_unique_pairs(parts)]
-                held = len(parts[0][0])
-        if held:
-            out.append(_found(PAIR, *_unique_pairs(parts)))
+        inside = np.repeat(open_, count)
+        rows = np.stack([cls[inside], size[inside], component[inside]], 1)
+        stop = 24 * np.append(0, count[open_].cumsum())
+        blob = rows.tobytes()
+        same: dict[bytes, int] = {}
+        for lo, hi in zip(stop[:-1].tolist(), stop[1:].tolist()):
+            same[blob[lo:hi]] = same.get(blob[lo:hi], 0) + 1
+        out.append(_found(PAIR, np.zeros(len(same), np.int64), np.fromiter(same.values(), np.int64, len(same)), list(same)))
     h, t = np.concatenate(heavy), np.concatenate(times)
     if len(h):
         name, inverse = np.unique(h, return_inverse=True)
         total = np.bincount(inverse, weights=t).astype(np.int64)
-        zero = np.zeros(len(name), np.int64)
-        out.append(_found(HEAVY, name, zero, zero, zero, total))
-    return pa.Table.from_batches(out, pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
-                                                 ("na", pa.int32()), ("nb", pa.int32()), ("n", pa.int64())]))
+        out.append(_found(HEAVY, name, total, [b""] * len(name)))
+    return pa.Table.from_batches(out, pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("holders", pa.binary())]))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of lists of holders, a limited number at a time, with the number of tokens shared."""
+    for batch in batches:
+        blobs = batch.column(0).to_pylist()
+        cls, size, component = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3).T
+        count = np.array([len(b) // 24 for b in blobs], np.int64)
+        for part in _pairs_of_lists(cls, size, component, count.cumsum() - count, count, batch.column(1).to_numpy()):
+            if len(part[0]):
+                a, b, na, nb, n = _unique_pairs(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(n)],
+                                                 names=["a", "b", "na", "nb", "n"])
 
 
 def _rows_of(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -315,11 +346,12 @@ def _first_stars(prefixes: DataFrame) -> DataFrame:
 
 def _candidates(index: DataFrame, buckets: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs that can still link, and frequent tokens per class, of one index."""
-    found = materialize(index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match, _FOUND), f"join-found-{level}")
+    found = materialize(index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lean(_match), _FOUND), f"join-found-{level}")
     heavy = materialize(found.where(F.col("kind") == HEAVY).groupBy("a").agg(F.sum("n").alias("f")), f"join-heavy-{level}")
     small = F.least("na", "nb")
     need = 1 + F.floor(small / 10) if level == 1 else F.ceil(_overlap(F.col("na"), F.col("nb")) - 1e-6)
-    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(
+    lists = found.where(F.col("kind") == PAIR).groupBy("holders").agg(F.sum("n").alias("n"))
+    pairs = lists.mapInArrow(_pairs, _PAIRS).groupBy("a", "b").agg(
         F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n")) \
         .join(heavy.select("a", F.col("f").alias("fa")), "a", "left") \
         .join(heavy.select(F.col("a").alias("b"), F.col("f").alias("fb")), "b", "left") \
@@ -365,21 +397,27 @@ def _index_combinations(sets: DataFrame, buckets: int) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, frequent, component = (batch.column(i).to_numpy() for i in range(3))
-            keys, size = [], []
-            for blob in batch.column(3).to_pylist():
-                token = np.frombuffer(blob, np.uint64)
+            keys, size, held, lo = [], [], 0, 0
+            for k, blob in enumerate(batch.column(3)):
+                token = np.frombuffer(blob.as_buffer(), np.uint64)
                 keys.append(combination_keys(token))
                 size.append(len(token))
-            length = [len(k) for k in keys]
-            key = np.concatenate(keys)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            columns = [key[order], *(np.repeat(v, length)[order] for v in (cls, np.array(size, np.int64), frequent, component))]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32))] + [pa.array([c[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()) for c in columns],
-                names=["bucket", "key", "class", "size", "frequent", "component"])
+                held += len(keys[-1])
+                if held >= FLUSH or k + 1 == len(cls):
+                    yield rows_of(keys, np.array(size, np.int64), cls[lo:k + 1], frequent[lo:k + 1], component[lo:k + 1])
+                    keys, size, held, lo = [], [], 0, k + 1
+
+    def rows_of(keys: list[np.ndarray], size: np.ndarray, cls: np.ndarray, frequent: np.ndarray, component: np.ndarray) -> pa.RecordBatch:
+        length = [len(k) for k in keys]
+        key = np.concatenate(keys)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        columns = [key[order], *(np.repeat(v, length)[order] for v in (cls, size, frequent, component))]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32))] + [pa.array([c[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()) for c in columns],
+            names=["bucket", "key", "class", "size", "frequent", "component"])
 
     return sets.select("class", "f", "component", "tokens").mapInArrow(index, _KEYS)
 
@@ -425,40 +463,129 @@ def _star(table: pa.Table) -> pa.Table:
     return _distinct(cls[apart], cls[pivot[apart]])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Holders of a key in different components that can link by their frequent tokens alone.
+def _least_label(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after those of each ``x`` and its ``y`` have become one: the smallest of all that are joined."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
 
-    (Pairs that also share a rare token have been candidates before.) The holders of a key that
-    are not in its largest component are compared with all others; what several keys ask for
-    is marked once, in blocks of rows.
-    """
-    key, cls, size, frequent, component = _holders(table)
+
+def _crossing(table: pa.Table) -> pa.Table:
+    """Holders of keys whose holders are in different components, with one of what their keys connect: a row per holder, not per pair."""
+    key, cls, _, _, component = _holders(table)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    stop = np.append(edge[1:], len(key)) if len(edge) else edge
-    name, at, number = np.unique(cls, return_index=True, return_inverse=True)
-    size, frequent, of_name = size[at], frequent[at], component[at]
-    lists: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo, hi in zip(edge, stop):
-        if component[lo] != component[hi - 1]:
-            part, inverse = np.unique(component[lo:hi], return_inverse=True)
-            minor = inverse != np.bincount(inverse).argmax()
-            lists.append((number[lo:hi][minor], number[lo:hi]))
-    rows = np.unique(np.concatenate([m for m, _ in lists])) if lists else np.zeros(0, np.int64)
-    a, b = [], []
-    block = max(1, (1 << 21) // max(1, len(name)))
-    for lo in range(0, len(rows), block):
-        here = rows[lo:lo + block]
-        asked = np.zeros((len(here), len(name)), bool)
-        for minor, everyone in lists:
-            mine = minor[(minor >= here[0]) & (minor <= here[-1])]
-            if len(mine):
-                asked[np.searchsorted(here, mine)[:, None], everyone] = True
-        asked &= of_name[here][:, None] != of_name
-        asked &= _by_frequent(size[here][:, None], size, frequent[here][:, None], frequent)
-        i, j = np.nonzero(asked)
-        a.append(name[here[i]])
-        b.append(name[j])
-    return _distinct(np.concatenate(a), np.concatenate(b)) if a else _distinct(rows, rows)
+    count = np.diff(np.append(edge, len(key)))
+    inside = np.repeat(component[edge] != component[edge + count - 1], count)
+    name, number = np.unique(cls, return_inverse=True)
+    label = _least_label(np.arange(len(name)), number[inside], number[np.repeat(edge, count)[inside]])
+    other = label != np.arange(len(name))
+    return _distinct(name[other], name[label[other]])
+
+
+def _neighbourhoods(sets: DataFrame, touching: DataFrame) -> DataFrame:
+    """``class, size, component, tokens`` of the sets that share keys across components, with the two blocks (``lo``, ``hi``) in which they
+    are to be compared and their own (``part``). A large neighbourhood is cut into several blocks; small ones share one."""
+    near = components(touching)
+    members = near.select(F.col("node").alias("class"), "component").unionAll(near.select(F.col("component").alias("class"), "component")).distinct()
+    placed = materialize(sets.select("class", "size").join(members.select("class", F.col("component").alias("near")), "class"), "join-near")
+    weight = placed.groupBy("near").agg(F.sum(F.col("size") + SET_COST).alias("weight"))
+    small = F.col("weight") <= BLOCK
+    total = weight.where(small).agg(F.sum("weight")).first()[0] or 0
+    shared = max(1, 2 * int(total) // BLOCK)
+    weight = weight.withColumn("parts", F.ceil(F.col("weight") / BLOCK).cast("int")) \
+        .select("near", "parts", small.alias("small"), F.when(small, F.pmod(F.xxhash64("near"), F.lit(shared))).otherwise(F.col("near")).alias("place"))
+    dealt = placed.join(weight, "near").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts").cast("long")).cast("int"))
+    dealt = dealt.select("class", "small", "place", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")) \
+        .select("class", "small", "place", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return sets.join(dealt, "class")
+
+
+def _shared_tokens(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of tokens that the sets ``a`` share with the sets ``b``, ``rows`` of ``a`` at a time (first row, matrix).
+
+    Tokens that many sets hold are multiplied as columns of ones, the others counted pair by pair.
+    """
+    (ta, fa), (tb, fb) = a, b
+    ua, ub = np.unique(ta), np.unique(tb)
+    name = np.intersect1d(ua, ub, assume_unique=True)
+    na, nb = len(fa) - 1, len(fb) - 1
+
+    def known(token, first):
+        at = np.searchsorted(name, token)
+        here = at < len(name)
+        here[here] = name[at[here]] == token[here]
+        row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+        return at[here].astype(np.int32), row[here]
+
+    (ia, ra), (ib, rb) = known(ta, fa), known(tb, fb)
+    order = np.argsort(ib, kind="stable")
+    ib, rb = ib[order], rb[order]
+    held = np.bincount(ib, minlength=len(name))
+    start = held.cumsum() - held
+    many = np.bincount(ia, minlength=len(name)) * held * 256 > na * nb
+    column = many.cumsum() - 1
+    columns = int(many.sum())
+    cut = np.searchsorted(ra, np.append(np.arange(0, na, rows), na))
+    dense_b = np.flatnonzero(many[ib])
+    column_b = column[ib[dense_b]]  # ascending
+    for lo, begin, end in zip(range(0, na, rows), cut, cut[1:]):
+        hi = min(na, lo + rows)
+        here = many[ia[begin:end]]
+        dense_a = begin + np.flatnonzero(here)
+        column_a = column[ia[dense_a]]
+        out = np.zeros((hi - lo, nb), np.int32)
+        for at in range(0, columns, 1024):
+            x, y = np.zeros((hi - lo, 1024), np.float32), np.zeros((nb, 1024), np.float32)
+            mine = (column_a >= at) & (column_a < at + 1024)
+            x[ra[dense_a[mine]] - lo, column_a[mine] - at] = 1
+            mine = slice(*np.searchsorted(column_b, [at, at + 1024]))
+            y[rb[dense_b[mine]], column_b[mine] - at] = 1
+            out += (x @ y.T).astype(np.int32)
+        few = begin + np.flatnonzero(~here)
+        upto = held[ia[few]].cumsum()
+        at = 0
+        while at < len(few):
+            done = upto[at - 1] if at else 0
+            mine = few[at:max(at + 1, int(np.searchsorted(upto, done + 1_000_000, side="right")))]
+            times = held[ia[mine]]
+            place = np.repeat(start[ia[mine]] - (times.cumsum() - times), times) + np.arange(int(times.sum()))
+            np.add.at(out.reshape(-1), np.repeat(ra[mine] - lo, times) * nb + rb[place], 1)
+            at += len(mine)
+        yield lo, out
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Two blocks of sets (or one with itself): the links between components, as one row at most per set."""
+    cls, component = (table.column(c).to_numpy() for c in ("class", "component"))
+    lo, part = table.column("lo").to_numpy(), table.column("part").to_numpy()
+    token, first = _rows_of(table.column("tokens"))
+    name, label = np.unique(component, return_inverse=True)
+    number = np.argsort(label, kind="stable")
+    label = number[np.searchsorted(label[number], label)]  # the first set of each component here
+    one, two = np.flatnonzero(part == lo), np.flatnonzero(part != lo)
+    if table.column("hi")[0].as_py() == lo[0]:
+        two = one
+    if len(one) == 0 or len(two) == 0 or len(name) < 2:
+        return _distinct(cls[:0], cls[:0])
+    size = np.diff(first)
+
+    def of(rows):
+        return np.concatenate([token[first[k]:first[k + 1]] for k in rows]), np.append(0, size[rows].cumsum())
+
+    before = label
+    for at, common in _shared_tokens(of(one), of(two), max(1, (1 << 20) // len(two))):
+        x = one[at:at + len(common)]
+        linked = 100 * common.astype(np.int64) >= PERCENT * (size[x][:, None] + size[two] - common)
+        i, j = np.nonzero(linked & (label[x][:, None] != label[two]))
+        label = _least_label(label, x[i], two[j])
+    moved = np.flatnonzero(label != before)
+    return _distinct(cls[moved], cls[label[moved]])
 
 
 # ---------------------------------------------------------------- verification
@@ -505,12 +632,29 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     return sets
 
 
+@contextmanager
+def _arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Plans made meanwhile send Python batches of about this many bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
 
 
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
+    with _arrow_batches(docs.sparkSession, BATCH):
+        return _shingle_components(docs, id_col, text_col)
+
+
+def _shingle_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
                        F.col(text_col).cast("string").alias("text"))
 
@@ -563,13 +707,16 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         left = materialize(still.join(heavy.select(F.col("a").alias("class"), "f"), "class")
                            .where(F.col("f") >= F.ceil(F.col("size") * PERCENT / 100)).select("class", "size", "f"), "join-still-2")
 
-    def settle(found: DataFrame, label: str) -> None:
-        """Verify pairs across components and take in what links."""
+    def settle(new: DataFrame) -> None:
+        """Take in what links."""
         nonlocal cc
-        new = materialize(_verified(_joined(found, cc).distinct(), sets), label)
         if not new.isEmpty():  # what is known already is one edge a member
             cc = components(cc.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new))
 
+    def verify(found: DataFrame, label: str) -> None:
+        """Verify pairs across components."""
+        settle(materialize(_verified(_joined(found, cc).distinct(), sets), label))
+
     # verification: one partner of each class, and the pivots, then what is not connected yet
     chosen = pairs.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
     total = left.agg(F.sum("size")).first()[0] if left is not None else 0
@@ -577,12 +724,16 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         buckets = max(1, int(total) // (BUCKET // 4))
         own = sets.join(left.select("class", "f"), "class")
         keyed = _index_combinations(_with_component(own, cc), buckets)
-        chosen = chosen.unionAll(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_star, "a long, b long"))
-    settle(chosen, "join-links-1")
-    settle(pairs, "join-links-2")
+        chosen = chosen.unionAll(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lean(_star), "a long, b long"))
+    verify(chosen, "join-links-1")
+    verify(pairs, "join-links-2")
     if total:
-        keyed = _index_combinations(_with_component(own, cc), buckets)
-        settle(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_across, "a long, b long"), "join-links-3")
+        own = _with_component(own, cc)
+        keyed = _index_combinations(own, buckets)
+        touching = materialize(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lean(_crossing), "a long, b long"), "join-crossing")
+        if not touching.isEmpty():
+            blocks = _neighbourhoods(own, touching).select("class", "component", "tokens", "small", "place", "lo", "hi", "part")
+            settle(materialize(blocks.groupBy("small", "place", "lo", "hi").applyInArrow(_lean(_across), "a long, b long"), "join-links-3"))
 
     named = _with_component(classes.select("class", "doc_id"), cc)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

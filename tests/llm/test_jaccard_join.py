@@ -132,3 +132,80 @@ def test_linked_sets_share_a_combination_key():
         if 100 * len(x & y) >= 75 * len(x | y):
             a, b = (jj.combination_keys(np.array(sorted(s), np.uint64)) for s in (x, y))
             assert len(np.intersect1d(a, b)), (len(x), len(y), len(x & y))
+
+
+def halves(rng, n):
+    """Texts that share about half of their words with each other, and a few near copies of some of them."""
+    base = [f"w{k}" for k in range(120)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randint(4, 9)):
+            w[rng.randrange(120)] = f"own{rng.randrange(60)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [2_000, 40_000, 1_000_000])
+def test_unlinked_relatives_equal_brute_force_in_any_blocks(make_docs, monkeypatch, block):
+    rows = halves(random.Random(3), 90) + corpus(random.Random(4), 40)
+    monkeypatch.setattr(jj, "RARE", 2)
+    monkeypatch.setattr(jj, "BUCKET", 2_000)
+    monkeypatch.setattr(jj, "BLOCK", block)
+    got = sorted([tuple(r) for r in jj.shingle_components(make_docs([(k, t) for k, (_, t) in enumerate(rows)])).collect()], key=str)
+    want = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    assert got == want
+    assert len({c for i, _, c in want if i < 90}) > 20  # most relatives are not linked
+
+
+def combination_postings(sets):
+    """A bucket of combination keys; every set is a component of its own and all its tokens are frequent."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [jj.combination_keys(s) for s in sets]
+    times = [len(k) for k in keys]
+    cls = np.repeat(np.arange(len(sets), dtype=np.int64), times)
+    size = np.repeat(np.array([len(s) for s in sets], np.int64), times)
+    columns = {"key": np.concatenate(keys), "class": cls, "size": size, "frequent": size, "component": cls}
+    return pa.table({"bucket": pa.array([0], pa.int32())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()})
+
+
+def test_holders_of_a_key_make_a_row_each_not_a_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    made = {n: jj._crossing(combination_postings([np.sort(np.append(common, rng.integers(1, 1 << 62, 60).astype(np.uint64))) for _ in range(n)])).num_rows
+            for n in (40, 200)}
+    assert 20 <= made[40] < 40 and made[200] < 200
+
+
+def test_a_shared_passage_makes_a_list_once_a_bucket():
+    """Twenty texts with one passage of two hundred tokens: one list of holders, not a row for each of 190 pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    token = np.random.default_rng(2).integers(1, 1 << 62, 200).astype(np.uint64)
+    table = {"token": np.repeat(token, 20), "class": np.tile(np.arange(20, dtype=np.int64), 200), "size": np.full(4000, 900, "<i4"),
+             "heavy": np.zeros(0, np.int64), "times": np.zeros(0, "<i8"), "member": np.zeros(0, np.int64), "component": np.zeros(0, np.int64)}
+    found = jj._match(pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in table.items()}))
+    assert found.num_rows == 1 and found.column("n").to_pylist() == [200]
+    pairs = pa.Table.from_batches(list(jj._pairs(iter(found.select(["holders", "n"]).to_batches()))))
+    assert pairs.num_rows == 190 and set(pairs.column("n").to_pylist()) == {200}
+
+
+def test_shared_tokens_equal_plain_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    often, seldom = rng.integers(1, 1 << 62, 30).astype(np.uint64), rng.integers(1, 1 << 62, 3000).astype(np.uint64)
+
+    def some(n):
+        sets = [np.unique(np.concatenate([rng.choice(often, rng.integers(0, 25)), rng.choice(seldom, rng.integers(1, 12))])) for _ in range(n)]
+        return sets, (np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])))
+
+    (x, a), (y, b) = some(150), some(260)
+    for left, right, one, two in ((x, y, a, b), (x, x, a, a)):
+        got = np.concatenate([m for _, m in jj._shared_tokens(one, two, 37)])
+        assert got.tolist() == [[len(np.intersect1d(s, t)) for t in right] for s in left]
