@@ -134,7 +134,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     n = len(codes)
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
     order, width = np.argsort(rank, kind="stable"), 1
-    while width < depth:
+    while width < min(depth, n):  # beyond n all suffixes are told apart
         behind = np.zeros(n, np.int64)
         behind[:n - width] = rank[width:]
         key = rank * (int(rank.max()) + 1) + behind

@@ -57,3 +57,9 @@ def test_columns(make_docs):
     assert sorted([(r.text, r.ids) for r in both], key=str) == sorted([(r.text, r.ids) for r in got], key=str)
     assert all(r.decoded == r.text for r in both)
     assert make_docs([]).select(sl.encode_column()(F.col("text"))).count() == 0
+
+
+def test_suffixes_of_text_shorter_than_the_longest_piece():
+    text = "abracadab"
+    codes = np.array([ord(c) for c in text])
+    assert sl.suffix_array(codes, 32).tolist() == sorted(range(len(text)), key=lambda k: text[k:])
